@@ -1 +1 @@
-"""Plans of the line-history engine."""
+"""The analytical queries, from options and tables to results."""
