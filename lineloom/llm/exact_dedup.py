@@ -21,6 +21,8 @@ from lineloom.llm.common import ascii_lower, located, shared_dir, spool, with_pl
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State stores on disk, without room taken in advance for each partition's logs.
+STORE = {PROVIDER: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: Copies that are compared with one fetched keeper in one task at most, on average.
 COPIES_PER_TASK = 4096
 
@@ -42,8 +44,9 @@ def keyed_state(arrivals: DataFrame, state_dir: str) -> DataFrame:
     A second call with the same `state_dir` goes on from the first one's state.
     """
     spark = arrivals.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             arrivals.groupBy("digest").agg(F.max(F.struct("id", "at_file", "at_row")).alias("last"), F.count("*").alias("n"))
@@ -51,7 +54,8 @@ def keyed_state(arrivals: DataFrame, state_dir: str) -> DataFrame:
             .option("checkpointLocation", state_dir).trigger(availableNow=True).start()
         )
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     if query.lastProgress is None:  # no file has arrived yet, so there is no state to read
         return spark.createDataFrame([], "digest binary, last struct<id:bigint,at_file:string,at_row:bigint>, n bigint")
@@ -63,7 +67,8 @@ def verdicts(docs: DataFrame, state: DataFrame, id_col: str, text_col: str, dige
     alone = state.where("n = 1").select("last.at_file", "last.at_row", "last.id", "digest", "last", "n", F.lit(True).alias("same"))
     text = ascii_lower(F.col(text_col))
     rows = located(docs, F.col(id_col).alias("id"), text.alias("body"), digest(text).alias("digest"))
-    hits = rows.join(state.where("n > 1"), "digest").withColumn("parts", F.ceil(F.col("n") / COPIES_PER_TASK))
+    # whole texts are shuffled here alone; only those that share a digest go on
+    hits = spool(rows.join(state.where("n > 1"), "digest").withColumn("parts", F.ceil(F.col("n") / COPIES_PER_TASK)), "dedup-hits")
     is_keeper = (F.col("at_file") == F.col("last.at_file")) & (F.col("at_row") == F.col("last.at_row"))
     keepers = hits.where(is_keeper).select("digest", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     hits = hits.withColumn("part", F.pmod(F.xxhash64("at_file", "at_row"), F.col("parts")))
