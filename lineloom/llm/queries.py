@@ -66,7 +66,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_exact_dedup, op2_license_scan, op3_entropy_mixing, op4_rule_quality, op5_crf_toxicity, op6_simhash_near_dedup, op7_vector_sharding, op8_unigram_pieces, op9_tool_chat, op10_iso_media, pipeline)
 }
 
+
+
+def _license_sql() -> str:
+    """The licence scan over the same templates, with grams compared as lists of words."""
+    values = ", ".join(f"({t['tid']}, '{t['kind']}', '{t['label']}', {t['k']}, {t['words']!r})" for t in licenses.templates())
+    return rf"""
+WITH t(tid, kind, label, k, words) AS (VALUES {values}),
+g AS (SELECT tid, kind, label, k, n_grams, spot, words[spot + 1 : spot + k] AS gram FROM (SELECT *, len(words) - k + 1 AS n_grams, UNNEST(range(0, len(words) - k + 1)) AS spot FROM t)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT r, pos, w[pos + 1 : pos + {licenses.PHRASE_K}] AS short, w[pos + 1 : pos + {licenses.NOTICE_K}] AS long FROM (SELECT r, w, UNNEST(range(0, len(w))) AS pos FROM d)),
+v AS (SELECT r, pos, g.* FROM p JOIN g ON short = gram WHERE k = {licenses.PHRASE_K} UNION ALL SELECT r, pos, g.* FROM p JOIN g ON long = gram WHERE k = {licenses.NOTICE_K}),
+a AS (SELECT r, tid, kind, label, k, n_grams, pos - spot AS diagonal, list(DISTINCT spot) AS ats, min(pos) AS first, max(pos) AS last FROM v GROUP BY ALL),
+b AS (SELECT *, CASE WHEN diagonal - lag(diagonal, 1, -1073741824) OVER x > CASE kind WHEN 'notice' THEN {licenses.NEAR} ELSE 0 END THEN 1 ELSE 0 END AS starts FROM a WINDOW x AS (PARTITION BY r, tid ORDER BY diagonal)),
+c AS (SELECT *, sum(starts) OVER (PARTITION BY r, tid ORDER BY diagonal) AS span FROM b),
+e AS (SELECT r, tid, kind, label, n_grams, span, len(list_distinct(flatten(list(ats)))) / n_grams AS similarity, min(first) AS first FROM c GROUP BY r, tid, kind, label, n_grams, span),
+f AS (SELECT * FROM e WHERE similarity >= CASE kind WHEN 'notice' THEN {licenses.MIN_SIMILARITY} ELSE 1.0 END),
+h AS (SELECT r, count(*) FILTER (kind = 'base') AS n_base, min(first) FILTER (kind = 'base') AS first_word, max(first) FILTER (kind = 'base') AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kind = 'base') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(similarity) AS score FROM f GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN h USING (r)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": _license_sql(),
     "op1_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
