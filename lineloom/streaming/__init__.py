@@ -1 +1 @@
-"""Streaming of the line-history engine."""
+"""Structured Streaming over commit feeds."""
