@@ -40,6 +40,8 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 LEAST_DOCS, LEAST_Z, MOST_FEATURES = 4, 5.0, 4000
 #: Tokens around one with features that a training sequence holds.
 AROUND = 6
+#: Training sequences at most; texts come in the sample's order.
+MOST_WINDOWS = 60_000
 TRAIN_STEPS, RIDGE = 120, 1e-3
 #: Texts of one Arrow batch that Python scores at a time, by characters.
 CHUNK_CHARS = 2_000_000
@@ -77,8 +79,8 @@ class Emissions(dict):
         return value
 
 
-def pick_features(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
-    """Words and beginnings that toxic documents hold far more often than others."""
+def pick_features(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, int], dict[str, float]]:
+    """Words and beginnings that toxic documents hold far more often than others; and how precise each is."""
     words = [set(TOKEN.findall(t.lower())) for t in texts]
     inside: Counter = Counter()
     for w, y in zip(words, toxic, strict=True):
@@ -96,7 +98,6 @@ def pick_features(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
         both = (inside[n] + outside[n]) / (n1 + n0)
         z[n] = (a - b) / np.sqrt(max(both * (1 - both) * (1 / n1 + 1 / n0), 1e-12))
     best = sorted((n for n in z if z[n] >= LEAST_Z), key=lambda n: (-z[n], n))[:MOST_FEATURES]
-    # precise ones label tokens: those first, and a mark of how precise each is
     return {n: i for i, n in enumerate(sorted(best))}, {n: (inside[n] / n1) / (inside[n] / n1 + outside[n] / n0) for n in best}
 
 
@@ -139,8 +140,8 @@ def _train_chain(model: ToxicModel, texts: list[str], y: np.ndarray, precision:
                 marks.append(bool(toxic) and here[1])
                 valid.append(0 <= at < len(hits))
             k += 1
-            if k >= 60_000:
-                break
+        if k >= MOST_WINDOWS:
+            break
     state, ok = np.array(marks, np.int64).reshape(-1, width), np.array(valid).reshape(-1, width)
     rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
     n = k * width
