@@ -6,6 +6,7 @@ import argparse
 import sys
 from datetime import datetime
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lineloom.functions import reldate
@@ -109,7 +110,7 @@ def _report(spark, a, own: OwnershipOptions, ranged: ChangesOptions, since: str,
             return text.duplicates_text(found[1], full)
         return text.ownership_csv(found[1]) if a.format == "csv" else text.ownership_text(found[1], full)
     if a.command == "ownership-timeseries":
-        rows, seen = [], set()
+        rows, people, seen = [], [], set()
         # one snapshot per sampled commit; a run per sample, since each has its own blame
         for tick in reldate.ticks(since, a.until, period):
             found = snapshot(spark, a.repo, a.branch, tick.isoformat(), own)
@@ -117,25 +118,53 @@ def _report(spark, a, own: OwnershipOptions, ranged: ChangesOptions, since: str,
                 break
             if found[0]["commit_id"] not in seen:
                 seen.add(found[0]["commit_id"])
-                rows.append({"date": found[0]["author_ts"].date().isoformat(), **found[1].totals.first().asDict()})
-        return text.series_text(rows[::-1], "date", {"lines": "Lines", "duplicated": "Duplicates", "files": "Files"}, "Inc/period") if rows else None
+                date = found[0]["author_ts"].date().isoformat()
+                rows.append({"date": date, **(found[1].totals.first() or EMPTY).asDict()})
+                people += [{"date": date, **r.asDict()} for r in found[1].authors.collect()]
+        if not rows:
+            return None
+        shown = {"lines": "Lines", "duplicated": "Duplicates", "files": "Files"}
+        out = _clusters(spark, people, lambda r: r["lines"], "owns") + "\n" + text.series_text(rows[::-1], "date", shown, "Inc/period")
+        by_author = {"lines": "Lines", "duplicated": "Duplicates (total)", "original": "Duplicates (original)"}
+        return out + (text.author_series_text(people, "date", by_author, "Inc/period") if full else "")
     if a.command == "changes":
         by_commit = bool(a.since_commit or a.until_commit)
         _, found = change_range(spark, a, None if by_commit else reldate.resolve(since), None if by_commit else reldate.resolve(a.until), ranged)
         if found is None:
             return None
         return text.changes_text(found) if full else text.changes_short_text(found)
-    rows, left = [], {r["commit_id"] for r in gitrepo.commits(spark, a.repo, a.branch).select("commit_id").collect()}
+    rows, people, left = [], [], {r["commit_id"] for r in gitrepo.commits(spark, a.repo, a.branch).select("commit_id").collect()}
     moments = reldate.ticks(since, a.until, period)
     for hi, lo in zip(moments, [*moments[1:], reldate.resolve(since)], strict=True):
         # each commit belongs to one period, the latest that it falls into
         ids, found = change_range(spark, a, lo, hi, ranged, left)
         left -= set(ids)
         if found is not None:
-            rows.append({"period": f"{lo.date()} - {hi.date()}", **{k: v or 0 for k, v in found.totals.first().asDict().items()}})
-    for r in rows:
+            name = f"{lo.date()} - {hi.date()}"
+            rows.append({"period": name, **{k: v or 0 for k, v in found.totals.first().asDict().items()}})
+            people += [{"period": name, **r.asDict()} for r in found.authors.collect()]
+    if not rows:
+        return None
+    for r in [*rows, *people]:
         r["touched"] = r["new_lines"] + r["changes"]
-    return text.series_text(rows[::-1], "period", {"commits": "Commits", "files": "Files touched", "touched": "Lines touched", "new_lines": "New lines", "changes": "Changed lines"}, "Total") if rows else None
+    measures = {"touched": "Lines touched", "new_lines": "New lines", "changes": "Changed lines"}
+    out = text.series_text(rows[::-1], "period", {"commits": "Commits", "files": "Files touched", **measures}, "Total")
+    out += "\n" + _clusters(spark, people, lambda r: r["touched"], "touched")
+    return out + (text.author_series_text(people, "period", measures, "Total") if full else "")
+
+
+#: Totals of a snapshot in which no line counts.
+EMPTY = Row(files=0, lines=0, authors=0, age_days_sum=0.0, duplicated=0)
+
+
+def _clusters(spark, people: list[dict], total, verb: str) -> str:
+    """Clusters of the authors' totals over all periods."""
+    sums: dict[str, int] = {}
+    for r in people:
+        sums[r["author_name"]] = sums.get(r["author_name"], 0) + total(r)
+    if not sums:
+        return ""
+    return text.clusters_text(spark.createDataFrame(list(sums.items()), "author_name string, total bigint"), verb, "Author clusters\n")
 
 
 def main() -> None:

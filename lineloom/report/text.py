@@ -164,3 +164,16 @@ def series_text(rows: list, label: str, measures: dict[str, str], last: str) ->
     elif rows:
         out.append([last, *[f"{rows[-1][m] - rows[0][m]}{change_share(rows[-1][m], rows[0][m])}" for m in measures]])
     return aligned([label.capitalize(), *measures.values()], out)
+
+
+def author_series_text(people: list[dict], label: str, measures: dict[str, str], last: str) -> str:
+    """A series of each author, by name; people: rows of author and period, newest period first.
+
+    An author who comes with several mails in a period has one row of their sums.
+    """
+    series: dict[str, dict[str, dict]] = {}
+    for r in reversed(people):
+        row = series.setdefault(r["author_name"], {}).setdefault(r[label], {label: r[label], **dict.fromkeys(measures, 0)})
+        for m in measures:
+            row[m] += r[m]
+    return "".join(f"\n{name}\n" + series_text(list(rows.values()), label, measures, last) for name, rows in sorted(series.items()))
