@@ -41,12 +41,13 @@ LEAST_DOCS, LEAST_Z, MOST_FEATURES = 4, 5.0, 4000
 #: Tokens around one with features that a training sequence holds.
 AROUND = 6
 #: Training sequences at most; the sample's texts come in the order of their ids' hashes, labels mixed.
-MOST_WINDOWS = 60_000
+MOST_WINDOWS, WINDOWS_AT_ONCE = 60_000, 4096
 TRAIN_STEPS, RIDGE = 120, 1e-3
 #: Texts of one Arrow batch that Python scores at a time, by characters.
 CHUNK_CHARS = 2_000_000
-#: Distinct words whose features a worker remembers.
-REMEMBERED = 400_000
+#: Distinct words whose features a worker remembers, and the driver while it fits.
+REMEMBERED, FIT_REMEMBERED = 400_000, 100_000
+NO_FEATURES: tuple[list[int], bool] = ([], False)
 
 
 @dataclass
@@ -81,16 +82,24 @@ class Emissions(dict):
 
 def pick_features(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, int], dict[str, float]]:
     """Words and beginnings that toxic documents hold far more often than others; and how precise each is."""
-    words = [set(TOKEN.findall(t.lower())) for t in texts]
+
+    def names(wanted: int) -> Iterator[set[str]]:
+        """The distinct names of each text of a label, one text at a time."""
+        for t, y in zip(texts, toxic, strict=True):
+            if y == wanted:
+                yield {n for x in set(TOKEN.findall(t.lower())) for n in names_of(x)}
+
+    # rough counts by hash rule out most names; the others are counted exactly
+    rough = np.zeros(1 << 22, np.int32)
+    for found in names(1):
+        rough[np.unique(np.fromiter(map(hash, found), np.int64, len(found)) & (len(rough) - 1))] += 1
     inside: Counter = Counter()
-    for w, y in zip(words, toxic, strict=True):
-        if y:
-            inside.update({n for x in w for n in names_of(x)})
+    for found in names(1):
+        inside.update(n for n in found if rough[hash(n) & (len(rough) - 1)] >= LEAST_DOCS)
     likely = {n for n, c in inside.items() if c >= LEAST_DOCS}
     outside: Counter = Counter()
-    for w, y in zip(words, toxic, strict=True):
-        if not y:
-            outside.update({n for x in w for n in names_of(x) if n in likely})
+    for found in names(0):
+        outside.update(found & likely)
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     z = {}
     for n in likely:
@@ -125,10 +134,13 @@ def _train_chain(model: ToxicModel, texts: list[str], y: np.ndarray, precision:
         tokens = TOKEN.findall(text.lower())
         hits = []
         for w in tokens:
-            if w not in known:
+            hit = known.get(w)
+            if hit is None:
                 ids = [model.features[n] for n in names_of(w) if n in model.features]
-                known[w] = (ids, any(precision[n] >= 0.9 for n in names_of(w) if n in precision))
-            hits.append(known[w])
+                hit = (ids, any(precision[n] >= 0.9 for n in names_of(w) if n in precision)) if ids else NO_FEATURES
+                if len(known) < FIT_REMEMBERED:
+                    known[w] = hit
+            hits.append(hit)
         for i, (ids, _) in enumerate(hits):
             if not ids:
                 continue
@@ -152,11 +164,14 @@ def _train_chain(model: ToxicModel, texts: list[str], y: np.ndarray, precision:
     for t in range(1, TRAIN_STEPS + 1):
         emit = (np.bincount(rows, theta[cols], n) + theta[size]).reshape(-1, width) * ok
         switch = theta[size + 1 :].reshape(2, 2)
-        p, pairs = _window_marginals(emit, switch)
-        gap = (state - p) * ok
+        p, expected = np.empty_like(emit), np.zeros((2, 2))
         both = ok[:, 1:] & ok[:, :-1]
+        for i in range(0, k, WINDOWS_AT_ONCE):
+            at = slice(i, i + WINDOWS_AT_ONCE)
+            p[at], pairs = _window_marginals(emit[at], switch)
+            expected += (pairs * both[at, :, None, None]).sum((0, 1))
+        gap = (state - p) * ok
         seen = np.array([[(both & (state[:, :-1] == a) & (state[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
-        expected = (pairs * both[:, :, None, None]).sum((0, 1))
         grad = np.concatenate([np.bincount(cols, gap.ravel()[rows], size), [gap.sum()], (seen - expected).ravel()]) / max(1, k) - RIDGE * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta = theta + 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
