@@ -167,11 +167,15 @@ def compiled(model: RuleModel) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def permitted_labels(labels: DataFrame, label: str, id_col: str) -> DataFrame:
+    """(train_id, y) of all rows that models may learn from, one row for each id."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_col)))
+    return known.groupBy(F.col(id_col).alias("train_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+
+
 def training_labels(labels: DataFrame, label: str, id_col: str, most: int) -> DataFrame:
     """(train_id, y) of at most `most` rows that models may learn from, chosen by a hash of the id."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("train_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    return known.orderBy(F.xxhash64("train_id"), "train_id").limit(most)
+    return permitted_labels(labels, label, id_col).orderBy(F.xxhash64("train_id"), "train_id").limit(most)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> RuleModel:

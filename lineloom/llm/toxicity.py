@@ -5,7 +5,9 @@ beginnings that toxic documents of the sample hold far more often than others la
 toxic documents as toxic, all others as clean. A two-state chain is trained on these token
 sequences (log-likelihood with a ridge, gradients by forward-backward). Its marginals mark
 offending spans with their offsets; a document's score is a logistic function of its greatest
-marginal and of the sum of its marginals, fitted on the sample's document labels.
+marginal and of the sum of its marginals, fitted on the sample's document labels. Where the sample
+holds fewer documents of a label than there are, each stands for several: chain and score are
+fitted with these weights, so that they see the labels at the table's rates.
 
 Tokens without any feature are alike, so a run of them is a power of one 2 by 2 matrix; forward
 and backward passes jump over the runs and stay exact.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.llm.common import held_out
-from lineloom.llm.quality import training_labels
+from lineloom.llm.quality import permitted_labels
 
 #: Labelled documents that a model is fitted on at most, of each label.
 SAMPLE = 3_000
@@ -110,27 +112,30 @@ def pick_features(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, int],
     return {n: i for i, n in enumerate(sorted(best))}, {n: (inside[n] / n1) / (inside[n] / n1 + outside[n] / n0) for n in best}
 
 
-def fit_model(texts: list[str], labels: list[int]) -> ToxicModel:
+def fit_model(texts: list[str], labels: list[int], stands_for: tuple[float, float] = (1.0, 1.0)) -> ToxicModel:
+    """stands_for: how many documents of the table each text of label 0 and 1 stands for."""
     y = np.asarray(labels, np.int64)
+    weight = np.asarray(stands_for, np.float64)[y]
+    weight = weight / weight.mean() if len(y) else weight
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
         return ToxicModel(blend=np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     features, precision = pick_features(texts, y)
     model = ToxicModel(features, np.zeros(len(features)))
     if features:
-        _train_chain(model, texts, y, precision)
+        _train_chain(model, texts, y, precision, weight)
     peak, mass = document_evidence(model, texts)
-    model.blend = _logistic(np.stack([np.ones(len(y)), peak, mass], 1), y)
+    model.blend = _logistic(np.stack([np.ones(len(y)), peak, mass], 1), y, weight)
     return model
 
 
-def _train_chain(model: ToxicModel, texts: list[str], y: np.ndarray, precision: dict[str, float]) -> None:
+def _train_chain(model: ToxicModel, texts: list[str], y: np.ndarray, precision: dict[str, float], weight: np.ndarray) -> None:
     """Fits weights, bias and switch scores on windows around tokens that have features."""
     width = 2 * AROUND + 1
     known: dict[str, tuple[list[int], bool]] = {}
-    rows, cols, marks, valid = [], [], [], []
+    rows, cols, marks, valid, shares = [], [], [], [], []
     k = 0
-    for text, toxic in zip(texts, y, strict=True):
+    for text, toxic, share in zip(texts, y, weight, strict=True):
         tokens = TOKEN.findall(text.lower())
         hits = []
         for w in tokens:
@@ -151,11 +156,12 @@ def _train_chain(model: ToxicModel, texts: list[str], y: np.ndarray, precision:
                 cols += here[0]
                 marks.append(bool(toxic) and here[1])
                 valid.append(0 <= at < len(hits))
+            shares.append(share)
             k += 1
         if k >= MOST_WINDOWS:
             break
     state, ok = np.array(marks, np.int64).reshape(-1, width), np.array(valid).reshape(-1, width)
-    rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
+    rows, cols, shares = np.array(rows, np.int64), np.array(cols, np.int64), np.array(shares)
     n = k * width
     size = len(model.features)
     theta = np.zeros(size + 5)
@@ -169,10 +175,10 @@ def _train_chain(model: ToxicModel, texts: list[str], y: np.ndarray, precision:
         for i in range(0, k, WINDOWS_AT_ONCE):
             at = slice(i, i + WINDOWS_AT_ONCE)
             p[at], pairs = _window_marginals(emit[at], switch)
-            expected += (pairs * both[at, :, None, None]).sum((0, 1))
-        gap = (state - p) * ok
-        seen = np.array([[(both & (state[:, :-1] == a) & (state[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
-        grad = np.concatenate([np.bincount(cols, gap.ravel()[rows], size), [gap.sum()], (seen - expected).ravel()]) / max(1, k) - RIDGE * theta
+            expected += (pairs * (both[at] * shares[at, None])[:, :, None, None]).sum((0, 1))
+        gap = (state - p) * ok * shares[:, None]
+        seen = np.array([[((both & (state[:, :-1] == a) & (state[:, 1:] == b)).sum(1) * shares).sum() for b in (0, 1)] for a in (0, 1)])
+        grad = np.concatenate([np.bincount(cols, gap.ravel()[rows], size), [gap.sum()], (seen - expected).ravel()]) / max(1, shares.sum()) - RIDGE * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta = theta + 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     model.weights, model.bias, model.switch = theta[:size], float(theta[size]), theta[size + 1 :].reshape(2, 2)
@@ -288,12 +294,12 @@ def document_evidence(model: ToxicModel, texts: list[str], emissions: Emissions
     return np.log(peak / (1 - peak)), np.log1p([p.sum() for p in found])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression of weighted rows by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (y - p) - 1e-2 * w)
+        w = w + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (weight * (y - p)) - 1e-2 * w)
     return w
 
 
@@ -321,13 +327,16 @@ def spans(model: ToxicModel, text: str, least: float = 0.5) -> list[tuple[int, i
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> ToxicModel:
-    """A model of `label` from at most `sample` labelled documents of each kind, whole texts."""
-    one = training_labels(labels.where(F.col(label) == 1), label, id_col, sample)
-    other = training_labels(labels.where(F.col(label) == 0), label, id_col, sample).join(one.select("train_id"), "train_id", "left_anti")
+    """A model of `label` from at most `sample` labelled documents of each kind, whole texts, weighted to the rates of all labels."""
+    permitted = permitted_labels(labels.where(F.col(label).isin(0, 1)), label, id_col)
+    one, other = (permitted.where(F.col("y") == y).orderBy(F.xxhash64("train_id"), "train_id").limit(sample) for y in (1, 0))
     chosen = F.broadcast(one.unionByName(other))  # twice `sample` rows of two numbers at most
     known = docs.select(F.col(id_col).alias("train_id"), F.col(text_col).cast("string").alias("train_text")).join(chosen, "train_id")
-    rows = known.orderBy(F.xxhash64("train_id"), "train_id", "train_text").limit(2 * sample).collect()
-    return fit_model([r["train_text"] or "" for r in rows], [r["y"] for r in rows])
+    # another hash than the one that chose the ids: it would put the label with more ids first
+    rows = known.orderBy(F.xxhash64("train_id", F.lit("order")), "train_id", "train_text").limit(2 * sample).collect()
+    counts = {r["y"]: r["count"] for r in permitted.groupBy("y").count().collect()}
+    stands_for = [max(1.0, counts.get(y, 0) / sample) for y in (0, 1)]
+    return fit_model([r["train_text"] or "" for r in rows], [r["y"] for r in rows], (stands_for[0], stands_for[1]))
 
 
 def _scored(docs: DataFrame, model: ToxicModel, columns: list[str], text_col: str) -> DataFrame:

@@ -114,3 +114,23 @@ def test_offsets_of_spans(spark):
     assert text[start:stop] == "Zarkfool" and p > 0.5
     found = toxicity.offending(cases.frame(spark, [(1, text, "", "", 0), (2, "ba ri", "", "", 0), (3, None, "", "", 0)]), model).collect()
     assert [(r.doc_id, r.spans[0].start) for r in found] == [(1, 6)]
+
+
+def test_scores_keep_the_rate_of_labels_that_are_cut_to_the_sample(spark):
+    r = random.Random(5)
+    docs, labels = [], []
+    for i in range(4000):
+        toxic = r.random() < 0.1
+        words = [r.choice(["ba", "ri", "to", "men", "la"]) for _ in range(12)]
+        if r.random() < (0.5 if toxic else 0.05):  # a sign that proves neither label
+            words[r.randrange(12)] = "zarkfool"
+        docs.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 0, int(toxic)))
+    df, known = cases.frame(spark, docs), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    share = np.mean([t for i, _, t in labels if held(i)])
+    scores = {}
+    for sample in (250, 4000):  # as on a large table, with both labels cut; and with all labels
+        rows = toxicity.score_rows(df, toxicity.fit(df, known, sample=sample)).where("held_out").collect()
+        assert abs(np.mean([x.score for x in rows]) - share) < 0.03
+        scores[sample] = np.array([x.score for x in sorted(rows)])
+    assert np.abs(scores[250] - scores[4000]).mean() < 0.03
