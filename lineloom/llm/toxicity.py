@@ -20,6 +20,7 @@ kinds every score is the share of label 1 (zero if there is none).
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,8 +43,8 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 LEAST_DOCS, LEAST_Z, MOST_FEATURES = 4, 5.0, 4000
 #: Tokens around one with features that a training sequence holds.
 AROUND = 6
-#: Training sequences at most; the sample's texts come in the order of their ids' hashes, labels mixed.
-MOST_WINDOWS, WINDOWS_AT_ONCE = 60_000, 4096
+#: Training sequences that are spelled out at a time.
+WINDOWS_AT_ONCE = 4096
 TRAIN_STEPS, RIDGE = 120, 1e-3
 #: Texts of one Arrow batch that Python scores at a time, by characters.
 CHUNK_CHARS = 2_000_000
@@ -130,11 +131,14 @@ def fit_model(texts: list[str], labels: list[int], stands_for: tuple[float, floa
 
 
 def _train_chain(model: ToxicModel, texts: list[str], y: np.ndarray, precision: dict[str, float], weight: np.ndarray) -> None:
-    """Fits weights, bias and switch scores on windows around tokens that have features."""
-    width = 2 * AROUND + 1
+    """Fits weights, bias and switch scores on windows around all tokens that have features.
+
+    Kept are the tokens in reach of a window, one after another, with places that hold none between
+    texts; windows are spelled out from them in turn, so memory follows the texts' own size.
+    """
     known: dict[str, tuple[list[int], bool]] = {}
-    rows, cols, marks, valid, shares = [], [], [], [], []
-    k = 0
+    rows, cols, marks, valid = array("q"), array("i"), array("b", bytes(AROUND)), array("b", bytes(AROUND))
+    centres, shares = array("q"), array("d")
     for text, toxic, share in zip(texts, y, weight, strict=True):
         tokens = TOKEN.findall(text.lower())
         hits = []
@@ -146,39 +150,51 @@ def _train_chain(model: ToxicModel, texts: list[str], y: np.ndarray, precision:
                 if len(known) < FIT_REMEMBERED:
                     known[w] = hit
             hits.append(hit)
+        done = 0
         for i, (ids, _) in enumerate(hits):
             if not ids:
                 continue
-            for j in range(width):
-                at = i + j - AROUND
-                here = hits[at] if 0 <= at < len(hits) else ([], False)
-                rows += [k * width + j] * len(here[0])
-                cols += here[0]
-                marks.append(bool(toxic) and here[1])
-                valid.append(0 <= at < len(hits))
+            done = max(done, i - AROUND)
+            # up to i + AROUND all are kept now, and i lies as far before the last one
+            for here, mark in hits[done : i + AROUND + 1]:
+                rows.extend([len(marks)] * len(here))
+                cols.extend(here)
+                marks.append(bool(toxic) and mark)
+                valid.append(True)
+            done = min(i + AROUND + 1, len(hits))
+            centres.append(len(marks) - done + i)
             shares.append(share)
-            k += 1
-        if k >= MOST_WINDOWS:
-            break
-    state, ok = np.array(marks, np.int64).reshape(-1, width), np.array(valid).reshape(-1, width)
-    rows, cols, shares = np.array(rows, np.int64), np.array(cols, np.int64), np.array(shares)
-    n = k * width
-    size = len(model.features)
+        marks.extend(bytes(AROUND))
+        valid.extend(bytes(AROUND))
+    rows, cols, marks, valid = np.array(rows), np.array(cols), np.array(marks, np.int64), np.array(valid, bool)
+    centres, shares = np.array(centres), np.array(shares)
+    around = np.arange(-AROUND, AROUND + 1)
+    k, n, size = len(centres), len(marks), len(model.features)
+
+    def windows() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Places, whether they hold tokens, weights, and weights of neighbouring tokens."""
+        for i in range(0, k, WINDOWS_AT_ONCE):
+            at = centres[i : i + WINDOWS_AT_ONCE, None] + around
+            ok, share = valid[at], shares[i : i + WINDOWS_AT_ONCE, None]
+            yield at, ok, share, (ok[:, 1:] & ok[:, :-1]) * share
+
+    seen = np.zeros((2, 2))
+    for at, _, _, both in windows():
+        state = marks[at]
+        seen += [[(both * ((state[:, :-1] == a) & (state[:, 1:] == b))).sum() for b in (0, 1)] for a in (0, 1)]
     theta = np.zeros(size + 5)
     theta[size] = -2.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, TRAIN_STEPS + 1):
-        emit = (np.bincount(rows, theta[cols], n) + theta[size]).reshape(-1, width) * ok
+        scores = np.bincount(rows, theta[cols], n) + theta[size]
         switch = theta[size + 1 :].reshape(2, 2)
-        p, expected = np.empty_like(emit), np.zeros((2, 2))
-        both = ok[:, 1:] & ok[:, :-1]
-        for i in range(0, k, WINDOWS_AT_ONCE):
-            at = slice(i, i + WINDOWS_AT_ONCE)
-            p[at], pairs = _window_marginals(emit[at], switch)
-            expected += (pairs * (both[at] * shares[at, None])[:, :, None, None]).sum((0, 1))
-        gap = (state - p) * ok * shares[:, None]
-        seen = np.array([[((both & (state[:, :-1] == a) & (state[:, 1:] == b)).sum(1) * shares).sum() for b in (0, 1)] for a in (0, 1)])
-        grad = np.concatenate([np.bincount(cols, gap.ravel()[rows], size), [gap.sum()], (seen - expected).ravel()]) / max(1, shares.sum()) - RIDGE * theta
+        gaps, expected = np.zeros(n), np.zeros((2, 2))
+        for at, ok, share, both in windows():
+            p, pairs = _window_marginals(scores[at] * ok, switch)
+            expected += (pairs * both[:, :, None, None]).sum((0, 1))
+            low, high = at[0, 0], at[-1, -1] + 1
+            gaps[low:high] += np.bincount((at - low).ravel(), ((marks[at] - p) * ok * share).ravel(), high - low)
+        grad = np.concatenate([np.bincount(cols, gaps[rows], size), [gaps.sum()], (seen - expected).ravel()]) / max(1, shares.sum()) - RIDGE * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta = theta + 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     model.weights, model.bias, model.switch = theta[:size], float(theta[size]), theta[size + 1 :].reshape(2, 2)

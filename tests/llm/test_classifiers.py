@@ -134,3 +134,10 @@ def test_scores_keep_the_rate_of_labels_that_are_cut_to_the_sample(spark):
         assert abs(np.mean([x.score for x in rows]) - share) < 0.03
         scores[sample] = np.array([x.score for x in sorted(rows)])
     assert np.abs(scores[250] - scores[4000]).mean() < 0.03
+
+
+def test_a_long_text_leaves_no_feature_untrained():
+    texts = ["zarkfool " * 60_001] + ["ba ri vexq to", "men zarkfool la"] * 20 + ["ba ri to men la"] * 100
+    model = toxicity.fit_model(texts, [1] * 41 + [0] * 100)
+    assert {"vexq", "zarkfool"} <= set(model.features)
+    assert all(model.weights[i] > 0 for i in model.features.values())
