@@ -183,7 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     # `sample` rows of two numbers: a proven bound for the broadcast
     chosen = F.broadcast(training_labels(labels, label, id_col, sample))
     known = docs.select(F.col(id_col).alias("train_id"), F.col(text_col).alias("train_text")).join(chosen, "train_id")
-    rows = with_features(known, F.col("train_text")).select("y", *NAMES).orderBy(*NAMES, "y").limit(2 * sample).toPandas()
+    # repeated ids may give more rows than are kept: their hash has no regard for length or quality
+    rows = with_features(known, F.col("train_text")).select("y", *NAMES, F.xxhash64("train_id", "train_text").alias("place"))
+    rows = rows.orderBy("place", *NAMES, "y").limit(2 * sample).toPandas().sort_values([*NAMES, "y"])
     return fit_rules(rows[NAMES].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
 
 

@@ -141,3 +141,13 @@ def test_a_long_text_leaves_no_feature_untrained():
     model = toxicity.fit_model(texts, [1] * 41 + [0] * 100)
     assert {"vexq", "zarkfool"} <= set(model.features)
     assert all(model.weights[i] > 0 for i in model.features.values())
+
+
+def test_quality_sample_of_repeated_ids_holds_texts_of_all_lengths(spark, monkeypatch):
+    docs = [(i, "ba " * (1 + (7 * i + 13 * c) % 100), "en", "s", 0) for i in range(100) for c in range(10)]
+    known = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_rules", lambda x, y: seen.append(x) or quality.RuleModel(0.0, ()))
+    for sample in (20, 1000):  # 200 rows of the sampled ids, cut to 40; and nothing cut
+        quality.fit(cases.frame(spark, docs), known, sample=sample)
+    assert len(seen[0]) == 40 and abs(seen[0][:, 0].mean() - seen[1][:, 0].mean()) < 0.4
