@@ -26,7 +26,20 @@ def session(master: str | None = None, app: str = "lineloom", **settings: str) -
     return builder.getOrCreate()
 
 
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that driver and executors share.
+
+    Only a local session, whose executors are the driver, may leave it unset: then a folder of this machine serves.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
+
+
 def with_checkpoints(spark: SparkSession) -> None:
-    """Sets the checkpoint folder to spark.checkpoint.dir; to one of this machine only where that is unset."""
+    """Sets the checkpoint folder to the shared one, unless one is set."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
