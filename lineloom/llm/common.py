@@ -3,43 +3,52 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineloom.session import shared_base
+
 #: Words of the size and fingerprint contracts: runs of anything but ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+#: Plans whose rows keep the places of the file rows they come from, one row for each at most.
+ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
 
-    Only where the setting is absent (a local session, tests) a folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/lineloom/{name}-{uuid.uuid4().hex}"
+def _path_in(spark: SparkSession, path: str):
+    """(file system, path) of a folder, as Hadoop knows them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; it goes when the driver ends."""
+    path = f"{shared_base(spark)}/lineloom/{name}-{uuid.uuid4().hex}"
+    fs, p = _path_in(spark, path)
+    # marked once it exists: only then the file system remembers it
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as Parquet to the shared folder and read back: lineage ends there,
     and the loss of an executor costs no recomputation."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_spool(spooled: DataFrame) -> None:
+    """Deletes the folder of a table that spool() gave and that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in spooled.inputFiles()}:
+        fs, p = _path_in(spooled.sparkSession, folder)
+        fs.delete(p, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -54,12 +63,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def with_places(docs: DataFrame) -> DataFrame:
-    """`docs` itself if it is a file scan, whose rows have places; else spooled, so that they have."""
-    try:
-        docs.select(docs.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018
-        return docs
-    except AnalysisException:
-        return spool(docs, "rows")
+    """`docs` itself if it is a scan of one path with filters and projections only, whose rows have
+    places of their own; else spooled. A place outlives an explode or a join, but several rows share it then."""
+    left = [docs._jdf.queryExecution().analyzed()]
+    for plan in left:
+        kind = plan.getClass().getSimpleName()
+        if kind not in ROW_BY_ROW or not plan.deterministic():
+            return spool(docs, "rows")
+        if kind == "LogicalRelation":
+            source = plan.relation()
+            if source.getClass().getSimpleName() != "HadoopFsRelation" or source.location().rootPaths().size() != 1:
+                return spool(docs, "rows")
+        children = plan.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return docs
 
 
 def located(docs: DataFrame, *columns: Column | str) -> DataFrame:

@@ -37,15 +37,17 @@ def as_stream(spark: SparkSession, path: str, schema, trigger_bytes: int) -> Dat
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(trigger_bytes)).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def keyed_state(arrivals: DataFrame, state_dir: str) -> DataFrame:
+def keyed_state(arrivals: DataFrame, state_dir: str, stores: int | None = None) -> DataFrame:
     """Runs the stream `arrivals` (digest, id, at_file, at_row) to its present end.
 
     Returns digest, last (struct of id, at_file, at_row) and n, as the state store holds them.
-    A second call with the same `state_dir` goes on from the first one's state.
+    A second call with the same `state_dir` goes on from the first one's state. stores: how many
+    stores share the keys, fixed by the first run; spark.sql.shuffle.partitions if not given.
     """
     spark = arrivals.sparkSession
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
+    wanted = STORE | ({"spark.sql.shuffle.partitions": str(stores)} if stores else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         query = (
@@ -76,11 +78,12 @@ def verdicts(docs: DataFrame, state: DataFrame, id_col: str, text_col: str, dige
     return alone.unionByName(compared)
 
 
-def exact_dedup(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, trigger_bytes: int = 64 << 30, state_dir: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, trigger_bytes: int = 64 << 30, state_dir: str | None = None, stores: int | None = None) -> DataFrame:
     """One row per row of `docs`: at_file, at_row, id, keep_id, group_size, kept, digest.
 
     path: the files of `docs`, streamed as they are; without it, a thin table of digests and
     locators is written to the shared folder and streamed. trigger_bytes: input of a micro-batch.
+    state_dir, stores: see keyed_state().
     """
     spark = docs.sparkSession
     state_dir = state_dir or shared_dir(spark, "dedup-state")
@@ -92,9 +95,9 @@ def exact_dedup(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
         docs = with_places(docs)
         thin = located(docs, digest(ascii_lower(F.col(text_col))).alias("digest"), F.col(id_col).alias("id"))
         folder = shared_dir(spark, "dedup-arrivals")
-        thin.write.parquet(folder)
+        thin.write.mode("append").parquet(folder)
         arrivals = as_stream(spark, folder, thin.schema, trigger_bytes)
-    found = spool(verdicts(docs, keyed_state(arrivals, state_dir), id_col, text_col, digest), "dedup-verdicts")
+    found = spool(verdicts(docs, keyed_state(arrivals, state_dir, stores), id_col, text_col, digest), "dedup-verdicts")
     is_keeper = F.col("at_file").eqNullSafe(F.col("last.at_file")) & F.col("at_row").eqNullSafe(F.col("last.at_row"))
     plain = found.select("at_file", "at_row", "id", F.col("last.id").alias("keep_id"), F.col("n").alias("group_size"), is_keeper.alias("kept"), "digest")
     if found.where("not same").isEmpty():
