@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.llm.common import spool
+from lineloom.llm.common import drop_spool, spool
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = spool(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
-        edges = spool(_star(_star(edges, small=False), small=True), "edges")
+        last, edges = edges, spool(_star(_star(edges, small=False), small=True), "edges")
+        drop_spool(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -2,14 +2,20 @@
 
 1. Fingerprints: 64 majority bits of the XXH64 (seed 42) of all 3-word shingles of a text.
 2. Equal fingerprints collapse to one row each.
-3. Two fingerprints within 3 bits agree on at least one of 4 blocks of 16 bits, so each goes to
-   4 buckets, one for each block turned to the top. A bucket that many fingerprints share is
-   split again by 4 blocks of 12 of the other 48 bits, by the same argument: no link is lost.
-4. Within a bucket fingerprints are sorted by Gray rank and packed into a tree: a node keeps the
-   bits on which all below it agree (mask and pattern). Pairs of nodes whose patterns differ in
-   more than 3 bits are pruned whole; what is left is compared fingerprint by fingerprint.
-   Only links that join separate groups leave a bucket, fewer than it has fingerprints.
-5. Links join into components; a component is named by its smallest doc_id.
+3. Two trees hold all fingerprints in Gray order, one as they are and one with their halves turned.
+   In Gray order all codes with the same leading bits lie together, so a node is a run of the order
+   named by its leading bits. A node keeps only the bits that all codes below it share and that its
+   parent doesn't hold already: what is shared is factored into the upper nodes. A node with more
+   than GROUP codes is split by STEP further bits, as often as it takes, so no group is without bound.
+4. Pairs of nodes are taken from the roots down. A pair carries the differences found so far; a step
+   down adds those in bits that have become known for both nodes. A pair goes, with all below it,
+   once it differs in more than 3 bits, or in more than 1 of the tree's leading half: of 3
+   differences at least one half holds at most 1, so one of the trees keeps every link.
+5. What is left are pairs of groups of bounded size. A task continues both groups' trees in memory,
+   down to leaves, and compares the leaves' codes. Only links that join separate groups leave a batch.
+6. Links join into components; a component is named by its smallest doc_id.
+
+With n fingerprints a node has about log2(n) partners of its own size, so work grows with n log n.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; a null id
 takes part and names no component unless all its ids are null; an empty table gives no rows.
@@ -28,12 +34,14 @@ from pyspark.sql import functions as F
 from lineloom.llm.common import located, spool, with_places
 from lineloom.llm.graph import components
 
-RADIUS, BLOCKS, SEED, SHINGLE = 3, 4, 42, 3
-#: Fingerprints of a bucket above which it is split by its other bits.
-SPLIT_OVER = 4096
-LEAF = 32
-#: Pairs of leaves compared at a time.
-PAIRS_AT_ONCE = 2048
+RADIUS, SEED, SHINGLE = 3, 42, 3
+#: Of the differences of a link, those that one of the two halves holds at most.
+HALF, HALF_RADIUS = 32, RADIUS // 2
+#: Leading bits of the first nodes, further bits of each split, and codes of a node that is not split.
+FIRST_BITS, STEP, GROUP = 8, 3, 1024
+#: Codes of a leaf in memory, and pairs of leaves compared at a time.
+LEAF, PAIRS_AT_ONCE = 16, 4096
+LEADING = np.uint64(0xFFFFFFFF00000000)
 
 
 def fingerprint(text: str | None) -> int:
@@ -86,125 +94,203 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def tree_levels(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(mask, pattern) of the nodes of each level, leaves first; `codes` in Gray order.
+Level = tuple[np.ndarray, np.ndarray]
 
-    A leaf holds LEAF codes, an upper node two nodes; the mask has the bits all below share.
+
+def tree_levels(codes: np.ndarray) -> list[Level]:
+    """(mask, bits) of each level's nodes, the root first; `codes` in Gray order.
+
+    A leaf holds LEAF codes, an upper node two nodes. mask has the bits that all codes below share
+    and that no node above holds.
     """
     first = np.arange(0, len(codes), LEAF)
-    mask = ~(np.bitwise_or.reduceat(codes, first) ^ np.bitwise_and.reduceat(codes, first))
-    levels = [(mask, np.bitwise_and.reduceat(codes, first) & mask)]
-    while len(levels[-1][0]) > 1:
-        mask, bits = levels[-1]
-        pair = np.arange(0, len(mask), 2)
-        other = np.minimum(pair + 1, len(mask) - 1)
-        shared = mask[pair] & mask[other] & ~(bits[pair] ^ bits[other])
-        levels.append((shared, bits[pair] & shared))
+    every, some = np.bitwise_and.reduceat(codes, first), np.bitwise_or.reduceat(codes, first)
+    levels = [(~(every ^ some), every)]
+    while len(levels[0][0]) > 1:
+        mask, bits = levels[0]
+        left = np.arange(0, len(mask), 2)
+        right = np.minimum(left + 1, len(mask) - 1)
+        shared = mask[left] & mask[right] & ~(bits[left] ^ bits[right])
+        held = np.repeat(shared, 2)[: len(mask)]
+        levels[0] = (mask & ~held, bits & mask & ~held)
+        levels.insert(0, (shared, bits[left] & shared))
+    mask, bits = levels[-1]
+    levels[-1] = (mask, bits & mask)
     return levels
 
 
-def near_leaves(levels: list[tuple[np.ndarray, np.ndarray]], radius: int) -> np.ndarray:
-    """Pairs (i <= j) of leaves that the tree can't rule out, from the root down."""
-    pairs = np.zeros((1, 2), np.int64)
-    for mask, bits in levels[-2::-1]:
-        a, b = pairs[:, 0] * 2, pairs[:, 1] * 2
-        pairs = np.concatenate([np.stack([a + i, b + j], 1) for i in (0, 1) for j in (0, 1)])
-        pairs = pairs[(pairs[:, 0] <= pairs[:, 1]) & (pairs[:, 1] < len(mask))]
-        both = mask[pairs[:, 0]] & mask[pairs[:, 1]]
-        apart = np.bitwise_count((bits[pairs[:, 0]] ^ bits[pairs[:, 1]]) & both)
-        pairs = pairs[apart <= radius]
-    return pairs
+def near_leaves(one: list[Level], other: list[Level], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of leaves of two trees that may hold links, from the roots down; i <= j if the trees are the same.
 
+    Each pair carries the bits known on its two paths and the differences among those known on both.
+    """
+    i = j = np.zeros(1, np.int64)
+    path_a = path_b = (np.zeros(1, np.uint64), np.zeros(1, np.uint64))
+    apart, leading = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for depth in range(max(len(one), len(other))):
+        # the leaves of a lower tree wait for those of the other one
+        goes_a, goes_b = depth < len(one), depth < len(other)
+        if depth:
+            sides_a, sides_b = range(1 + goes_a), range(1 + goes_b)
+            times = len(sides_a) * len(sides_b)
+            i = np.concatenate([i * len(sides_a) + x for x in sides_a for _ in sides_b])
+            j = np.concatenate([j * len(sides_b) + y for _ in sides_a for y in sides_b])
+            real = (i < len(one[min(depth, len(one) - 1)][0])) & (j < len(other[min(depth, len(other) - 1)][0]))
+            if same:
+                real &= i <= j
+            i, j, apart, leading = i[real], j[real], np.tile(apart, times)[real], np.tile(leading, times)[real]
+            path_a, path_b = (tuple(np.tile(x, times)[real] for x in path) for path in (path_a, path_b))
+        before = path_a[0] & path_b[0]
+        if goes_a:
+            path_a = (path_a[0] | one[depth][0][i], path_a[1] | one[depth][1][i])
+        if goes_b:
+            path_b = (path_b[0] | other[depth][0][j], path_b[1] | other[depth][1][j])
+        found = (path_a[1] ^ path_b[1]) & path_a[0] & path_b[0] & ~before
+        apart, leading = apart + np.bitwise_count(found), leading + np.bitwise_count(found & LEADING)
+        near = (apart <= RADIUS) & (leading <= HALF_RADIUS)
+        i, j, apart, leading = i[near], j[near], apart[near], leading[near]
+        path_a, path_b = (tuple(x[near] for x in path) for path in (path_a, path_b))
+    return i, j
+
+
+class Links:
+    """Links among codes, less those whose ends earlier ones join already."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.found: list[tuple[int, int]] = []
+
+    def top(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        for x, y in zip(left.tolist(), right.tolist(), strict=True):
+            a, b = self.top(x), self.top(y)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                self.found.append((x, y))
 
-def bucket_links(codes: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that span every group of the distinct codes that links of `radius` bits hold together."""
-    codes = codes[np.argsort(gray_rank(codes))]
-    parent = list(range(len(codes)))
 
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def group_links(one: np.ndarray, other: np.ndarray | None, links: Links) -> int:
+    """Adds the links between two groups of distinct codes, or within one; returns how many pairs were compared."""
+    one = one[np.argsort(gray_rank(one))]
+    same = other is None
+    other = one if same else other[np.argsort(gray_rank(other))]
+    tree = tree_levels(one)
+    a, b = near_leaves(tree, tree if same else tree_levels(other), same)
+    # a short leaf is filled up with its last code; what that finds twice is one link
+    leaves, others = (np.concatenate([x, np.full(-len(x) % LEAF, x[-1])]).reshape(-1, LEAF) for x in (one, other))
+    for k in range(0, len(a), PAIRS_AT_ONCE):
+        left, right = leaves[a[k : k + PAIRS_AT_ONCE]], others[b[k : k + PAIRS_AT_ONCE]]
+        p, i, j = np.nonzero(np.bitwise_count(left[:, :, None] ^ right[:, None, :]) <= RADIUS)
+        x, y = left[p, i], right[p, j]
+        links.add(x[x != y], y[x != y])
+    return len(a) * LEAF * LEAF
 
-    links: list[tuple[int, int]] = []
 
-    def join(left: np.ndarray, right: np.ndarray) -> None:
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            a, b = top(i), top(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((i, j))
-
-    if len(codes) <= 2 * LEAF:
-        close = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= radius
-        join(*np.nonzero(np.triu(close, 1)))
-    else:
-        padded = np.concatenate([codes, np.full(-len(codes) % LEAF, codes[-1])])
-        leaves = padded.reshape(-1, LEAF)
-        pairs = near_leaves(tree_levels(codes), radius)
-        for k in range(0, len(pairs), PAIRS_AT_ONCE):
-            a, b = pairs[k : k + PAIRS_AT_ONCE].T
-            p, i, j = np.nonzero(np.bitwise_count(leaves[a][:, :, None] ^ leaves[b][:, None, :]) <= radius)
-            i, j = a[p] * LEAF + i, b[p] * LEAF + j
-            real = (i < j) & (j < len(codes))
-            join(i[real], j[real])
-    return [(int(codes[i]), int(codes[j])) for i, j in links]
-
-
-def turned(block: int) -> Column:
-    """Column: fp with the block of 16 bits at place `block` turned to the top."""
-    by = 16 * block
-    return F.col("fp") if not by else F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by))
-
-
-def fingerprint_links(distinct: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
+def prefix(code: Column, bits: int) -> Column:
+    """The leading bits of a code, as a number; of a node, its name in its level."""
+    return F.shiftrightunsigned(code, 64 - bits)
+
+
+def trees(distinct: DataFrame, group: int, first_bits: int) -> tuple[list[DataFrame], DataFrame]:
+    """(levels, groups) of both trees over the fingerprints (column fp).
+
+    levels: turn, up, node, mask, bits, open of each level's nodes; open: whether the node is split
+    by the next level. groups: turn, level, node and codes of the nodes that are not split.
+    """
+    halves = F.array(F.struct(F.lit(0).alias("turn"), F.col("fp").alias("code")), F.struct(F.lit(1).alias("turn"), F.shiftleft("fp", HALF).bitwiseOR(F.shiftrightunsigned("fp", HALF)).alias("code")))
+    rows = spool(distinct.select(F.inline(halves)), "codes")
+    levels, groups = [], []
+    depth, before = first_bits, 0
+    held: DataFrame | None = None
+    while True:
+        up = prefix(F.col("code"), before) if before else F.lit(0).cast("long")
+        named = rows.withColumn("node", prefix(F.col("code"), depth)).withColumn("up", up)
+        nodes = named.groupBy("turn", "up", "node").agg(F.bit_and("code").alias("every"), F.bit_or("code").alias("some"), F.count("*").alias("n"))
+        shared = F.bitwise_not(F.col("every").bitwiseXOR(F.col("some")))
+        nodes = nodes.select("turn", "up", "node", shared.alias("shared"), F.col("every").alias("bits"), (F.col("n") > group).alias("open"))
+        if held is not None:  # the bits that the parent holds, with those above it, are left to it
+            nodes = nodes.join(held.select("turn", F.col("node").alias("up"), F.col("shared").alias("above")), ["turn", "up"])
+        else:
+            nodes = nodes.withColumn("above", F.lit(0).cast("long"))
+        own = F.col("shared").bitwiseAND(F.bitwise_not(F.col("above")))
+        nodes = spool(nodes.select("turn", "up", "node", own.alias("mask"), F.col("bits").bitwiseAND(own).alias("bits"), "open", "shared"), "nodes")
+        levels.append(nodes)
+        marked = named.join(nodes.select("turn", "node", "open"), ["turn", "node"])
+        whole = marked.where("not open").groupBy("turn", "node").agg(F.collect_list("code").alias("codes"))
+        groups.append(spool(whole.select("turn", F.lit(len(levels) - 1).alias("level"), "node", "codes"), "groups"))
+        # the next split goes beyond the leading bits that every open node shares
+        width = nodes.where("open").agg(F.max(F.length(F.bin(F.bitwise_not("shared"))))).first()[0]
+        if width is None:
+            break
+        rows = spool(marked.where("open").select("turn", "code"), "codes")
+        held, before, depth = nodes, depth, min(64, max(depth, 64 - width) + STEP)
+    every = groups[0]
+    for more in groups[1:]:
+        every = every.unionByName(more)
+    return levels, every
+
+
+def near_groups(levels: list[DataFrame]) -> DataFrame:
+    """turn, a_level, a, b_level, b: pairs of groups that may hold links, from the roots down."""
+    sides = ("a", "b")
+    # a root's name is 0, and nothing is known of the codes below it
+    at = {x: F.lit(0).cast("long") for s in sides for x in (s, f"{s}_mask", f"{s}_bits")}
+    spark = levels[0].sparkSession
+    pairs = spark.range(2).select(F.col("id").cast("int").alias("turn"), *[c.alias(n) for n, c in at.items()], F.lit(True).alias("a_open"), F.lit(True).alias("b_open"), F.lit(-1).alias("a_level"), F.lit(-1).alias("b_level"), F.lit(0).alias("apart"), F.lit(0).alias("leading"), F.lit(True).alias("twin"))
+    done = []
+    for depth, nodes in enumerate(levels):
+        for s in sides:
+            below = nodes.select(F.col("turn").alias("n_turn"), F.col("up").alias("n_up"), F.col("node").alias("n_node"), F.col("mask").alias("n_mask"), F.col("bits").alias("n_bits"), F.col("open").alias("n_open"))
+            # a group that is not split stays as it is
+            joined = pairs.join(below, (pairs.turn == below.n_turn) & (pairs[s] == below.n_up) & pairs[f"{s}_open"], "left")
+            got = F.col("n_node").isNotNull()
+            pairs = joined.withColumns({
+                s: F.coalesce("n_node", s), f"{s}_open": F.coalesce("n_open", F.lit(False)), f"{s}_level": F.when(got, depth).otherwise(F.col(f"{s}_level")),
+                f"{s}_new": F.coalesce("n_mask", F.lit(0).cast("long")), f"{s}_bits": F.col(f"{s}_bits").bitwiseOR(F.coalesce("n_bits", F.lit(0).cast("long"))),
+            }).drop(*below.columns)
+        # of a node and itself, each pair of children comes once
+        pairs = pairs.where(~F.col("twin") | (F.col("a") <= F.col("b")))
+        known = {s: F.col(f"{s}_mask").bitwiseOR(F.col(f"{s}_new")) for s in sides}
+        fresh = known["a"].bitwiseAND(known["b"]).bitwiseAND(F.bitwise_not(F.col("a_mask").bitwiseAND(F.col("b_mask"))))
+        found = F.col("a_bits").bitwiseXOR(F.col("b_bits")).bitwiseAND(fresh)
+        pairs = pairs.withColumn("found", found).withColumns({"a_mask": known["a"], "b_mask": known["b"], "apart": F.col("apart") + F.bit_count("found"), "leading": F.col("leading") + F.bit_count(F.shiftrightunsigned("found", 64 - HALF))})
+        pairs = pairs.where((F.col("apart") <= RADIUS) & (F.col("leading") <= HALF_RADIUS)).drop("a_new", "b_new", "found")
+        pairs = pairs.withColumn("twin", (F.col("a_level") == F.col("b_level")) & (F.col("a") == F.col("b")))
+        pairs = spool(pairs, "near-nodes")
+        done.append(pairs.where("not a_open and not b_open").select("turn", "a_level", "a", "b_level", "b", "twin"))
+        pairs = pairs.where("a_open or b_open")
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def fingerprint_links(distinct: DataFrame, group: int = GROUP, first_bits: int = FIRST_BITS) -> DataFrame:
     """(a, b): links that span the groups of fingerprints (column fp) within RADIUS bits."""
-    turns = F.array(*[F.struct(F.lit(r).alias("turn"), turned(r).alias("code")) for r in range(BLOCKS)])
-    routed = distinct.select("fp", F.inline(turns)).withColumn("key", F.shiftrightunsigned("code", 48).cast("int"))
-    sizes = routed.groupBy("turn", "key").agg(F.count("*").alias("n")).where(F.col("n") > split_over)
-    part = F.array(*[F.struct(F.lit(i).alias("sub"), F.shiftrightunsigned("code", 36 - 12 * i).bitwiseAND(F.lit(0xFFF)).cast("int").alias("subkey")) for i in range(BLOCKS)])
-    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(-1).alias("subkey")))
-    routed = routed.join(sizes, ["turn", "key"], "left").select("turn", "key", "code", F.inline(F.when(F.col("n").isNull(), whole).otherwise(part)))
+    levels, groups = trees(distinct, group, first_bits)
+    pairs = near_groups(levels)
+    one, other = (groups.select("turn", F.col("level").alias(f"{s}_level"), F.col("node").alias(s), F.col("codes").alias(f"{s}_codes")) for s in ("a", "b"))
+    ready = pairs.join(other, ["turn", "b_level", "b"]).join(one, ["turn", "a_level", "a"])
+    # a group and itself are one list
+    ready = ready.select("turn", "a_codes", F.when(~F.col("twin"), F.col("b_codes")).alias("b_codes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by bucket; one bucket is held at a time, across batches
-        held: list[np.ndarray] = []
-        name: tuple | None = None
-
-        def flush() -> list[tuple[int, int]]:
-            codes = np.unique(np.concatenate(held))
-            if len(codes) < 2:
-                return []
-            # turned back, the links are of the fingerprints themselves
-            by = 16 * name[0]
-            back = [[((x >> by) | (x << (64 - by))) & ((1 << 64) - 1) if by else x for x in pair] for pair in bucket_links(codes)]
-            return [(signed(a), signed(b)) for a, b in back]
-
-        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+        for batch in batches:
+            found: dict[int, Links] = {0: Links(), 1: Links()}
+            turns = batch.column(0).to_pylist()
+            for k, turn in enumerate(turns):
+                a, b = (batch.column(c)[k] for c in (1, 2))
+                codes = [x.values.to_numpy().view(np.uint64) if x.is_valid else None for x in (a, b)]
+                group_links(codes[0], codes[1], found[turn])
+            back = np.array([x for x in found[0].found] + [((a >> HALF | a << HALF) & (1 << 64) - 1, (b >> HALF | b << HALF) & (1 << 64) - 1) for a, b in found[1].found], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(back[:, 0]), pa.array(back[:, 1])], names=["a", "b"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = np.stack([b.column(i).to_numpy() for i in range(4)], 1)
-            codes = b.column(4).to_numpy().view(np.uint64)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            links = []
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(codes)], strict=True):
-                now = tuple(keys[s].tolist())
-                if now != name:
-                    if held:
-                        links += flush()
-                    name, held = now, []
-                held.append(codes[s:e])
-            if links:
-                yield out(links)
-        if held and (links := flush()):
-            yield out(links)
-
-    keys = ["turn", "key", "sub", "subkey"]
-    ready = routed.select(*keys, "code").repartition(*keys).sortWithinPartitions(*keys)
     return ready.mapInArrow(run, "a bigint, b bigint")
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lineloom.llm import graph, queries, simhash
 from lineloom.llm.mixing import SPACED_WORD
@@ -72,21 +73,66 @@ def spanned(codes, links):
     return [top(i) for i in range(len(codes))]
 
 
-def test_index_loses_no_link():
-    for n in (1, 2, 50, 64, 65, 300, 999):
+def levels_by_hand(codes):
+    """What each node of tree_levels() must know, its parents' bits included."""
+    out, width = [], simhash.LEAF
+    while True:
+        parts = [codes[i : i + width] for i in range(0, len(codes), width)]
+        every = [int(np.bitwise_and.reduce(p)) for p in parts]
+        some = [int(np.bitwise_or.reduce(p)) for p in parts]
+        out.insert(0, [((1 << 64) - 1 & ~(e ^ o), e & ~(e ^ o)) for e, o in zip(every, some, strict=True)])
+        if len(parts) == 1:
+            return out
+        width *= 2
+
+
+def test_shared_bits_lie_in_the_highest_node_that_has_them():
+    codes = np.array(near_codes(700, 3), np.uint64)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    levels, want = simhash.tree_levels(codes), levels_by_hand(codes)
+    for d, (mask, bits) in enumerate(levels):
+        for k in range(len(mask)):
+            path = [(levels[e][0][k >> d - e], levels[e][1][k >> d - e]) for e in range(d + 1)]
+            assert sum(int(m).bit_count() for m, _ in path) == want[d][k][0].bit_count()
+            assert (int(np.bitwise_or.reduce([m for m, _ in path])), int(np.bitwise_or.reduce([b for _, b in path]))) == want[d][k]
+
+
+def linked_groups(codes, parts):
+    """Groups by group_links() over all pairs of the parts, in both turns; and the share of pairs compared."""
+    found, compared = [], 0
+    for turn in (0, 1):
+        links = simhash.Links()
+        turned = [np.array([(c >> 32 | c << 32) & (1 << 64) - 1 if turn else c for c in p], np.uint64) for p in parts]
+        for i, one in enumerate(turned):
+            for other in turned[i:]:
+                compared += simhash.group_links(one, None if other is one else other, links)
+        found += [((a >> 32 | a << 32) & (1 << 64) - 1, (b >> 32 | b << 32) & (1 << 64) - 1) if turn else (a, b) for a, b in links.found]
+    assert all((a ^ b).bit_count() <= 3 for a, b in found)
+    return spanned(codes, found), compared / max(1, len(codes) ** 2)
+
+
+def test_index_loses_no_link_and_prunes():
+    for n in (1, 2, 15, 16, 17, 300, 999):
         codes = near_codes(n, n)
-        links = simhash.bucket_links(np.array(codes, np.uint64))
-        assert all((a ^ b).bit_count() <= 3 for a, b in links)
-        assert spanned(codes, links) == groups(codes)
+        assert linked_groups(codes, [codes])[0] == groups(codes)
+        parts = [codes[: n // 5], codes[n // 5 : n // 2], codes[n // 2 :]]
+        assert linked_groups(codes, [p for p in parts if p])[0] == groups(codes)
+    codes = near_codes(8000, 2)
+    assert linked_groups(codes, [codes])[1] < 0.15
 
 
-def test_routing_and_splitting_lose_no_link(spark):
-    codes = near_codes(400, 5) + [0x1234 << 48 | x for x in near_codes(200, 9) if x < 1 << 48]
-    codes = sorted(set(codes))
+def test_trees_over_the_table_lose_no_link(spark):
+    dense = [0x1234_5678_9ABC << 16 | x for x in range(400)]  # one run of the order, split down to its last bits
+    codes = sorted(set(near_codes(500, 5) + dense + [0, (1 << 64) - 1, 1 << 63]))
     df = spark.createDataFrame([(simhash.signed(c),) for c in codes], "fp bigint")
-    for limit in (4096, 3):
-        links = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.fingerprint_links(df, limit).collect()]
+    for group, first in ((1024, 8), (40, 4)):
+        levels, parts = simhash.trees(df, group, first)
+        sizes = [len(r.codes) for r in parts.collect()]
+        assert sum(sizes) == 2 * len(codes) and max(sizes) <= group and (group == 1024 or len(levels) > 3)
+        links = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.fingerprint_links(df, group, first).collect()]
+        assert all((a ^ b).bit_count() <= 3 for a, b in links)
         assert spanned(codes, links) == groups(codes)
+        assert len(links) < 20 * len(codes)
 
 
 def test_gray_ranks_are_those_of_the_sequence():
@@ -118,3 +164,9 @@ def test_keep_one(spark):
     distinct = sorted({by_hand(r[1]) for r in cases.awkward()})
     assert out.count() == len(set(groups(distinct)))
     assert simhash.keep_one(cases.empty(spark)).count() == 0
+
+
+def test_keep_one_of_an_exploded_frame(spark, tmp_path):
+    docs = spark.read.parquet(cases.table(spark, tmp_path, cases.frame(spark)) + "/documents.parquet")
+    twice = docs.withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert simhash.keep_one(twice).count() == simhash.keep_one(docs).count()
