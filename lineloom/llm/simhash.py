@@ -38,7 +38,7 @@ RADIUS, SEED, SHINGLE = 3, 42, 3
 #: Of the differences of a link, those that one of the two halves holds at most.
 HALF, HALF_RADIUS = 32, RADIUS // 2
 #: Leading bits of the first nodes, further bits of each split, and codes of a node that is not split.
-FIRST_BITS, STEP, GROUP = 8, 3, 1024
+FIRST_BITS, STEP, GROUP = 6, 3, 1024
 #: Codes of a leaf in memory, and pairs of leaves compared at a time.
 LEAF, PAIRS_AT_ONCE = 16, 4096
 LEADING = np.uint64(0xFFFFFFFF00000000)
