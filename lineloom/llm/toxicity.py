@@ -9,8 +9,11 @@ marginal and of the sum of its marginals, fitted on the sample's document labels
 holds fewer documents of a label than there are, each stands for several: chain and score are
 fitted with these weights, so that they see the labels at the table's rates.
 
-Tokens without any feature are alike, so a run of them is a power of one 2 by 2 matrix; forward
-and backward passes jump over the runs and stay exact.
+Tokens without any feature are alike, so a run of them is a power of one 2 by 2 matrix, taken in
+closed form from its eigenvalues; forward and backward passes jump over runs of any length and stay exact.
+
+Bounds: at most SAMPLE labelled documents of each label teach the model (twice as many rows where
+ids repeat), chosen by hash. All their tokens and all features that pass the test are used.
 
 Defined results: null text counts as empty and gets a score; labels that are null or of unknown
 ids are ignored, and of labels that repeat an id the largest counts; without labels of both
@@ -40,7 +43,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features, besides whole words.
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: A feature needs so many toxic documents, and this score of a two-share test, to be kept.
-LEAST_DOCS, LEAST_Z, MOST_FEATURES = 4, 5.0, 4000
+LEAST_DOCS, LEAST_Z = 4, 5.0
 #: Tokens around one with features that a training sequence holds.
 AROUND = 6
 #: Training sequences that are spelled out at a time.
@@ -109,8 +112,8 @@ def pick_features(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, int],
         a, b = inside[n] / n1, outside[n] / n0
         both = (inside[n] + outside[n]) / (n1 + n0)
         z[n] = (a - b) / np.sqrt(max(both * (1 - both) * (1 / n1 + 1 / n0), 1e-12))
-    best = sorted((n for n in z if z[n] >= LEAST_Z), key=lambda n: (-z[n], n))[:MOST_FEATURES]
-    return {n: i for i, n in enumerate(sorted(best))}, {n: (inside[n] / n1) / (inside[n] / n1 + outside[n] / n0) for n in best}
+    best = sorted(n for n in z if z[n] >= LEAST_Z)
+    return {n: i for i, n in enumerate(best)}, {n: (inside[n] / n1) / (inside[n] / n1 + outside[n] / n0) for n in best}
 
 
 def fit_model(texts: list[str], labels: list[int], stands_for: tuple[float, float] = (1.0, 1.0)) -> ToxicModel:
@@ -219,26 +222,38 @@ def _window_marginals(emit: np.ndarray, switch: np.ndarray) -> tuple[np.ndarray,
     return p, pairs / pairs.sum((2, 3), keepdims=True)
 
 
-def run_powers(model: ToxicModel, most: int = 512) -> np.ndarray:
-    """powers[g]: the scaled matrix over g tokens without features, then one step; index 0 is one step."""
-    step = np.exp(model.switch)
-    plain = step * np.array([1.0, np.exp(np.clip(model.bias, -30, 30))])
-    out = [step / step.sum()]
-    for _ in range(most):
-        nxt = plain @ out[-1]
-        out.append(nxt / nxt.sum())
-    return np.stack(out)
-
+class PlainRuns:
+    """Runs of tokens without features: the matrix of one such token, to any power, scaled."""
 
-def marginals(model: ToxicModel, sequences: list[tuple[np.ndarray, np.ndarray, int]], powers: np.ndarray) -> list[np.ndarray]:
+    def __init__(self, model: ToxicModel) -> None:
+        self.step = np.exp(model.switch)
+        self.start = np.array([1.0, np.exp(np.clip(model.bias, -30, 30))])
+        (a, b), (c, d) = self.step * self.start
+        # power g, over the larger eigenvalue's, is P + ratio**g (1 - P); each term without cancellation
+        half, mean = (a - d) / 2, (a + d) / 2
+        root = np.sqrt(half**2 + b * c)
+        upper, lower = ((half + root), b * c / (root + half)) if half >= 0 else (b * c / (root - half), root - half)
+        self.projection = np.array([[upper, b], [c, lower]]) / (2 * root)
+        self.ratio = (a * d - b * c) / (mean + root) ** 2
+
+    def power(self, gap: np.ndarray) -> np.ndarray:
+        """The matrices over `gap` such tokens each, 0 or more."""
+        left = np.power(self.ratio, gap.astype(np.float64))[..., None, None]
+        return self.projection * (1 - left) + np.eye(2) * left
+
+    def onward(self, gap: np.ndarray) -> np.ndarray:
+        """As power(), with the step to the token after the run."""
+        return self.power(gap) @ (self.step / self.step.sum())
+
+
+def marginals(model: ToxicModel, sequences: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
     """P(toxic) of the tokens with features. Each sequence: their places, emissions, and all tokens' count.
 
-    Sequences of like length run together; gaps beyond the table are at the chain's limit already.
+    Sequences of like length run together.
     """
+    runs = PlainRuns(model)
     out: list[np.ndarray] = [np.zeros(0)] * len(sequences)
     order = sorted((i for i in range(len(sequences)) if len(sequences[i][0])), key=lambda i: len(sequences[i][0]))
-    cap = len(powers) - 1
-    start = np.exp(np.array([0.0, np.clip(model.bias, -30, 30)]))
     i = 0
     while i < len(order):
         longest_here = len(sequences[order[i]][0]) * 5 // 4 + 4
@@ -255,24 +270,22 @@ def marginals(model: ToxicModel, sequences: list[tuple[np.ndarray, np.ndarray, i
             e[r, : len(at), 1] = np.exp(np.clip(emit + model.bias, -30, 30))
             gap[r, 1 : len(at)] = np.diff(at) - 1
             gap[r, 0], gap[r, len(at)] = at[0], total - 1 - at[-1]
-        gap = np.minimum(gap, cap)
         # the first token has no switch before it: a run before it starts from the plain emissions
-        head = np.where((gap[:, 0] > 0)[:, None], np.einsum("a,nab->nb", start, powers[np.maximum(gap[:, 0] - 1, 0)]), 1.0)
+        head = np.where((gap[:, 0] > 0)[:, None], np.einsum("a,nab->nb", runs.start, runs.onward(np.maximum(gap[:, 0] - 1, 0))), 1.0)
         ahead, back = np.zeros((n, width, 2)), np.ones((n, width, 2))
         a = head * e[:, 0]
         ahead[:, 0] = a / a.sum(1, keepdims=True)
         for t in range(1, width):
-            a = np.einsum("na,nab->nb", ahead[:, t - 1], powers[gap[:, t]]) * e[:, t]
+            a = np.einsum("na,nab->nb", ahead[:, t - 1], runs.onward(gap[:, t])) * e[:, t]
             ahead[:, t] = a / a.sum(1, keepdims=True)
         rows = np.arange(n)
         tail_gap = gap[rows, lengths]
         # after the last one: a run of plain tokens, with nothing behind it
-        plain_end = np.stack([np.exp(model.switch)[:, 0], np.exp(model.switch)[:, 1] * start[1]], 1).sum(1)
-        tail = np.where((tail_gap > 0)[:, None], np.einsum("nab,b->na", _plain_runs(powers, model, tail_gap), plain_end), 1.0)
+        tail = np.where((tail_gap > 0)[:, None], np.einsum("nab,b->na", runs.power(np.maximum(tail_gap - 1, 0)), runs.step @ runs.start), 1.0)
         for t in range(width - 1, -1, -1):
             last = lengths - 1 == t
             if t + 1 < width:
-                b = np.einsum("nab,nb->na", powers[gap[:, t + 1]], back[:, t + 1] * e[:, t + 1])
+                b = np.einsum("nab,nb->na", runs.onward(gap[:, t + 1]), back[:, t + 1] * e[:, t + 1])
             else:
                 b = np.ones((n, 2))
             b = np.where(last[:, None], tail, b)
@@ -285,16 +298,6 @@ def marginals(model: ToxicModel, sequences: list[tuple[np.ndarray, np.ndarray, i
     return out
 
 
-def _plain_runs(powers: np.ndarray, model: ToxicModel, gap: np.ndarray) -> np.ndarray:
-    """(step with plain emission) to the power gap - 1, scaled; the identity where gap is 1 or 0."""
-    plain = np.exp(model.switch) * np.array([1.0, np.exp(np.clip(model.bias, -30, 30))])
-    table = [np.eye(2)]
-    for _ in range(int(gap.max(initial=0))):
-        nxt = table[-1] @ plain
-        table.append(nxt / nxt.sum())
-    return np.stack(table)[np.maximum(gap - 1, 0)]
-
-
 def active(text: str, emissions: Emissions) -> tuple[np.ndarray, np.ndarray, int]:
     scores = np.fromiter(map(emissions.__getitem__, TOKEN.findall(text.lower())), np.float64)
     at = np.flatnonzero(scores)
@@ -304,7 +307,7 @@ def active(text: str, emissions: Emissions) -> tuple[np.ndarray, np.ndarray, int
 def document_evidence(model: ToxicModel, texts: list[str], emissions: Emissions | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The logit of each text's greatest marginal, and the log of 1 plus the marginals' sum."""
     emissions = Emissions(model) if emissions is None else emissions
-    found = marginals(model, [active(t, emissions) for t in texts], run_powers(model)) if model.features else [np.zeros(0)] * len(texts)
+    found = marginals(model, [active(t, emissions) for t in texts]) if model.features else [np.zeros(0)] * len(texts)
     peak = np.array([p.max(initial=1e-6) for p in found])
     peak = np.clip(peak, 1e-6, 1 - 1e-6)
     return np.log(peak / (1 - peak)), np.log1p([p.sum() for p in found])
@@ -327,7 +330,7 @@ def spans(model: ToxicModel, text: str, least: float = 0.5) -> list[tuple[int, i
     at, emit, total = active(lowered, Emissions(model))
     if not len(at):
         return []
-    p = marginals(model, [(at, emit, total)], run_powers(model))[0]
+    p = marginals(model, [(at, emit, total)])[0]
     places = [m.span() for m in TOKEN.finditer(lowered)]
     out: list[tuple[int, int, float]] = []
     before = -2
@@ -348,8 +351,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     one, other = (permitted.where(F.col("y") == y).orderBy(F.xxhash64("train_id"), "train_id").limit(sample) for y in (1, 0))
     chosen = F.broadcast(one.unionByName(other))  # twice `sample` rows of two numbers at most
     known = docs.select(F.col(id_col).alias("train_id"), F.col(text_col).cast("string").alias("train_text")).join(chosen, "train_id")
-    # another hash than the one that chose the ids: it would put the label with more ids first
-    rows = known.orderBy(F.xxhash64("train_id", F.lit("order")), "train_id", "train_text").limit(2 * sample).collect()
+    # by another hash than the one that chose the ids, which would put the label with more ids first;
+    # nothing is cut unless ids repeat, and then by the texts' hash, whatever they hold
+    rows = known.orderBy(F.xxhash64("train_id", "train_text", F.lit("order")), "train_id", "train_text").limit(2 * sample).collect()
     counts = {r["y"]: r["count"] for r in permitted.groupBy("y").count().collect()}
     stands_for = [max(1.0, counts.get(y, 0) / sample) for y in (0, 1)]
     return fit_model([r["train_text"] or "" for r in rows], [r["y"] for r in rows], (stands_for[0], stands_for[1]))
@@ -357,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
 def _scored(docs: DataFrame, model: ToxicModel, columns: list[str], text_col: str) -> DataFrame:
     """`columns` of docs with score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_FEATURES words and weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the features of 2 * SAMPLE documents at most
     rows = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
     schema = rows.drop("__text").withColumn("score", F.lit(0.0)).schema
 
