@@ -48,7 +48,7 @@ def op8_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(chat.conversation_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet")), chat.REPLY)
+    return chat.link(chat.conversation_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet")), chat.TOOLS)
 
 
 def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,21 +97,27 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """,
     "op9_tool_chat": """
-WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS content FROM conversations),
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS content, length(coalesce(text, '')) AS n FROM conversations),
 j AS (
-  SELECT c.*, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-    CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id,
-    EXISTS (SELECT 1 FROM c x WHERE x.conv_id = c.conv_id AND x.turn = c.turn - 1 AND x.role = 'user') AS asked,
-    EXISTS (SELECT 1 FROM c x WHERE x.conv_id = c.conv_id AND x.turn = c.turn + 1 AND x.role = 'assistant') AS answered
+  SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN conv_id || ':' || CASE WHEN turn % 6 >= 4 THEN turn - 2 ELSE turn END WHEN 'assistant' THEN conv_id || ':' || CASE WHEN n % 3 = 0 THEN turn + 1 ELSE turn - 1 END END AS call_id,
+    CASE WHEN role <> 'user' THEN NULL WHEN n % 16 = 3 THEN 'nothing' WHEN n % 4 = 1 THEN 'search' WHEN n % 4 = 2 THEN 'count' ELSE 'reply' END AS name
   FROM c),
+a AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, call_id, kind ORDER BY turn, name, content) AS nth,
+    CASE WHEN kind = 'call' THEN CASE name WHEN 'nothing' THEN false WHEN 'search' THEN n % 5 <> 0 WHEN 'count' THEN n % 10 <> 2 ELSE n % 12 <> 0 AND n % 20 <> 4 END END AS valid,
+    CASE name WHEN 'search' THEN '{"limit":' || CASE WHEN n % 5 = 0 THEN '"' || n % 7 || '"' ELSE (n % 7)::VARCHAR END || ',"query":' || to_json(content)::VARCHAR || '}'
+      WHEN 'count' THEN CASE WHEN n % 10 = 2 THEN '{}' ELSE '{"chars":' || n || '.5}' END
+      ELSE CASE WHEN n % 20 = 4 THEN '' ELSE '{"chars":' || n || CASE WHEN n % 12 = 0 THEN ',"more":true' ELSE '' END || ',"text":' || to_json(content)::VARCHAR || ',"turn":' || turn || '}' END END AS arguments
+  FROM j),
+s AS (SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS asked, count(*) FILTER (kind = 'result') AS answers FROM a WHERE call_id IS NOT NULL GROUP BY ALL),
 l AS (
-  SELECT *, CASE kind WHEN 'call' THEN CASE WHEN answered THEN 'linked' ELSE 'open' END WHEN 'result' THEN CASE WHEN asked THEN 'linked' ELSE 'orphan' END ELSE 'none' END AS link,
-    '{"chars":' || length(content) || ',"text":' || to_json(content)::VARCHAR || ',"turn":' || turn || '}' AS arguments
-  FROM j)
-SELECT conv_id, turn, role, kind, link, call_id, turn AS order_turn, CASE kind WHEN 'result' THEN 1 ELSE 0 END::INT AS order_rank,
-  CASE kind WHEN 'call' THEN true END AS valid,
+  SELECT a.*, CASE kind WHEN 'call' THEN CASE WHEN nth > 1 THEN 'repeated' WHEN answers > 0 THEN 'linked' ELSE 'open' END WHEN 'result' THEN CASE WHEN asked IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'none' END AS link,
+    CASE WHEN kind = 'result' AND asked > turn THEN asked ELSE turn END AS order_turn, CASE kind WHEN 'result' THEN 1 ELSE 0 END::INT AS order_rank
+  FROM a LEFT JOIN s USING (conv_id, call_id))
+SELECT conv_id, turn, role, kind, link, call_id, order_turn, order_rank, row_number() OVER (PARTITION BY conv_id ORDER BY order_turn, order_rank, turn, kind, role, content) - 1 AS position, valid,
   '{"content":' || to_json(content)::VARCHAR || ',"role":' || to_json(role)::VARCHAR
-    || CASE kind WHEN 'call' THEN ',"tool_call":{"arguments":' || to_json(arguments)::VARCHAR || ',"id":' || to_json(call_id)::VARCHAR || ',"name":"reply"}'
+    || CASE kind WHEN 'call' THEN ',"tool_call":{"arguments":' || to_json(arguments)::VARCHAR || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || to_json(name)::VARCHAR || '}'
        WHEN 'result' THEN ',"tool_call_id":' || to_json(call_id)::VARCHAR ELSE '' END || '}' AS line
 FROM l
 """,
