@@ -1,11 +1,14 @@
-"""Documents as ISO media files, and what their box tables say.
+"""ISO media files in columns: what their boxes say, and documents stored as such files.
 
-A text becomes a movie of raw 8-bit grey frames, 24 by 24 samples each. The reader walks
-nested boxes, decodes the sample tables of `stbl`, and gives codec, duration and the byte
-ranges of keyframes; sample bytes are never decoded, only located.
+The reader walks nested boxes, decodes each track's sample tables and its fragments' runs, and
+gives codec, duration and the byte ranges of keyframes; sample bytes are never decoded, only
+located. The writer makes a movie of a text: raw 8-bit grey frames, 24 by 24 samples each.
 
-Defined results: null counts as empty; an empty text still fills one frame; equal texts give
-equal files. A box that claims more bytes than its parent has is an error that names it.
+Defined results: null text counts as empty; an empty text still fills one frame; equal texts give
+equal files. Of a media column: null gives status "null"; a file whose boxes run past their parent
+or whose tables contradict each other gives no tracks and a status that names the fault, never an
+error; a file without tracks gives status "ok" and none. Samples that end beyond the file are
+"ok" and counted as missing, since files may be cut or their samples lie elsewhere.
 """
 
 from __future__ import annotations
@@ -14,10 +17,12 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -25,7 +30,9 @@ TIMESCALE, FRAME_TICKS = 1000, 40
 #: Every so many frames one is marked as a keyframe.
 GROUP = 12
 #: Boxes that hold boxes.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl"}
+NESTED = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"mvex", b"moof", b"traf"}
+#: Levels of boxes that a file may have; the largest number a column holds.
+DEEPEST, MOST = 16, (1 << 63) - 1
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -81,71 +88,246 @@ def write_movie(payload: bytes) -> bytes:
     return ftyp + moov(head) + box(b"mdat", payload)
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path of kinds, first and last byte of the body) of every box, parents before children."""
+def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path of kinds, first byte of the box, first and last byte of its body) of every box, parents before children."""
     end = len(data) if end is None else end
+    if len(path) > DEEPEST:
+        raise ValueError(f"boxes nest deeper than {DEEPEST}")
     while start < end:
         if end - start < 8:
             raise ValueError(f"{end - start} bytes left over in {path}")
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
+            if end - body < 8:
+                raise ValueError(f"box {kind!r} in {path} runs past its parent")
             (size,) = struct.unpack_from(">Q", data, body)
             body += 8
         stop = end if size == 0 else start + size
         if stop > end or stop < body:
             raise ValueError(f"box {kind!r} in {path} runs past its parent")
-        yield (*path, kind), body, stop
+        yield (*path, kind), start, body, stop
         if kind in NESTED:
             yield from walk(data, body, stop, (*path, kind))
         start = stop
 
 
-def read_movie(data: bytes) -> dict:
-    """codec, timescale, duration (ticks), samples: [(offset, size)], keyframes: [(start, stop)]."""
-    out: dict = {"codec": "", "timescale": 0, "duration": 0, "samples": [], "keyframes": []}
-    tables: dict[bytes, tuple[int, int]] = {}
-    for path, a, b in walk(data):
-        if path[-1] == b"mdhd":
-            long = data[a] == 1
-            out["timescale"], out["duration"] = struct.unpack_from(">IQ" if long else ">II", data, a + (20 if long else 12))
-        elif len(path) > 1 and path[-2] == b"stbl":
-            tables[path[-1]] = (a + 4, b)
-    if b"stsd" in tables:
-        out["codec"] = data[tables[b"stsd"][0] + 8 : tables[b"stsd"][0] + 12].decode("latin-1")
-    at, _ = tables[b"stsz"]
-    same, count = struct.unpack_from(">2I", data, at)
-    sizes = [same] * count if same else list(struct.unpack_from(f">{count}I", data, at + 8))
+@dataclass
+class Track:
+    """One track: samples are (offset, size); keys are the places of keyframes among them."""
+
+    track_id: int = 0
+    handler: str = ""
+    codec: str = ""
+    timescale: int = 0
+    duration: int = 0
+    samples: list[tuple[int, int]] = field(default_factory=list)
+    keys: list[int] = field(default_factory=list)
+
+    @property
+    def keyframes(self) -> list[tuple[int, int]]:
+        """Byte ranges (start, stop) of the keyframes."""
+        return [(self.samples[k][0], sum(self.samples[k])) for k in self.keys]
+
+
+class Body:
+    """Numbers of a box's body, one row after another; a row past its end is an error that names the box."""
+
+    def __init__(self, data: bytes, kind: bytes, at: int, end: int) -> None:
+        self.data, self.kind, self.at, self.end = data, kind, at, end
+
+    def rows(self, form: str, n: int = 1) -> list[tuple]:
+        size = n * struct.calcsize(f">{form}")
+        if self.at + size > self.end:
+            raise ValueError(f"box {self.kind!r} ends within its table")
+        self.at += size
+        return list(struct.iter_unpack(f">{form}", self.data[self.at - size : self.at])) if n else []
+
+    def row(self, form: str) -> tuple:
+        return self.rows(form)[0]
+
+    def column(self, n: int, form: str = "I") -> list[int]:
+        return [x for (x,) in self.rows(form, n)]
+
+    def claimed(self, n: int) -> int:
+        """A count of samples that no table of their own backs up; each takes a byte of the file at least."""
+        if n > len(self.data):
+            raise ValueError(f"box {self.kind!r} claims {n} samples")
+        return n
+
+
+def sample_sizes(tables: dict[bytes, Body]) -> list[int]:
+    if b"stsz" in tables:
+        body = tables[b"stsz"]
+        _, same, n = body.row("3I")
+        return [same] * body.claimed(n) if same else body.column(n)
+    body = tables[b"stz2"]
+    _, bits, n = body.row("3I")
+    bits &= 0xFF
+    if bits == 4:
+        return [half for x in body.column((n + 1) // 2, "B") for half in (x >> 4, x & 15)][:n]
+    if bits not in (8, 16):
+        raise ValueError(f"box b'stz2' has sizes of {bits} bits")
+    return body.column(n, "B" if bits == 8 else "H")
+
+
+def decode_tables(track: Track, tables: dict[bytes, Body]) -> None:
+    """Fills in codec, samples and keyframes from the boxes of a track's stbl."""
+    if b"stsd" in tables and tables[b"stsd"].row("2I")[1]:
+        track.codec = tables[b"stsd"].row("I4s")[1].decode("latin-1")
+    if not (b"stsz" in tables or b"stz2" in tables):
+        return
+    sizes = sample_sizes(tables)
     wide = b"co64" in tables
-    at, _ = tables[b"co64" if wide else b"stco"]
-    (n,) = struct.unpack_from(">I", data, at)
-    offsets = struct.unpack_from(f">{n}{'Q' if wide else 'I'}", data, at + 4)
-    at, _ = tables[b"stsc"]
-    (n,) = struct.unpack_from(">I", data, at)
-    runs = [struct.unpack_from(">3I", data, at + 4 + 12 * i) for i in range(n)]
-    k = 0
-    for i, (first, per, _) in enumerate(runs):
-        for chunk in range(first, runs[i + 1][0] if i + 1 < n else len(offsets) + 1):
-            place = offsets[chunk - 1]
-            for size in sizes[k : k + per]:
-                out["samples"].append((place, size))
-                place += size
-            k += per
+    if sizes and not (b"stsc" in tables and (wide or b"stco" in tables)):
+        raise ValueError("a track has sample sizes and no chunks")
+    if sizes:
+        chunks = tables[b"co64" if wide else b"stco"]
+        offsets = chunks.column(chunks.row("2I")[1], "Q" if wide else "I")
+        runs = tables[b"stsc"].rows("3I", tables[b"stsc"].row("2I")[1])
+        for (first, per, _), (stop, *_) in zip(runs, [*runs[1:], (len(offsets) + 1,)], strict=True):
+            if not 1 <= first <= stop <= len(offsets) + 1:
+                raise ValueError("box b'stsc' names chunks that the track does not have")
+            for place in offsets[first - 1 : stop - 1]:
+                k = len(track.samples)
+                for size in sizes[k : k + per]:
+                    track.samples.append((place, size))
+                    place += size
+        if len(track.samples) != len(sizes):
+            raise ValueError(f"chunks hold {len(track.samples)} of {len(sizes)} samples")
     if b"stss" in tables:
-        at, _ = tables[b"stss"]
-        (n,) = struct.unpack_from(">I", data, at)
-        marks = struct.unpack_from(f">{n}I", data, at + 4)
+        track.keys = [m - 1 for m in tables[b"stss"].column(tables[b"stss"].row("2I")[1])]
+        if any(not 0 <= k < len(sizes) for k in track.keys):
+            raise ValueError("box b'stss' names samples that the track does not have")
     else:  # without the table every sample is one
-        marks = range(1, count + 1)
-    out["keyframes"] = [(out["samples"][m - 1][0], sum(out["samples"][m - 1])) for m in marks]
-    return out
-
-
-def feature_of(movie: dict) -> str:
+        track.keys = list(range(len(sizes)))
+
+
+#: Bits of the flags of tfhd and trun, and of a sample that needs others.
+TFHD_BASE, TFHD_DESCRIPTION, TFHD_DURATION, TFHD_SIZE, TFHD_FLAGS, TFHD_FROM_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+TRUN_OFFSET, TRUN_FIRST, TRUN_DURATION, TRUN_SIZE, TRUN_FLAGS, TRUN_TIME = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+DEPENDS = 0x10000
+
+
+class Fragment:
+    """A traf: where its data begins, and what its samples have unless a run says otherwise."""
+
+    def __init__(self, body: Body, defaults: dict[int, tuple[int, int, int]], moof: int, before: Fragment | None) -> None:
+        bits, self.track = body.row("2I")
+        self.base = body.row("Q")[0] if bits & TFHD_BASE else moof if bits & TFHD_FROM_MOOF or before is None else before.next
+        if bits & TFHD_DESCRIPTION:
+            body.row("I")
+        known = defaults.get(self.track, (0, 0, 0))
+        self.duration, self.size, self.flags = (body.row("I")[0] if bits & bit else known[i] for i, bit in enumerate((TFHD_DURATION, TFHD_SIZE, TFHD_FLAGS)))
+        self.next = self.base
+
+    def add(self, body: Body, track: Track) -> None:
+        """The samples of a trun."""
+        bits, n = body.row("2I")
+        if bits & TRUN_OFFSET:
+            self.next = self.base + body.row("i")[0]
+        first = body.row("I")[0] if bits & TRUN_FIRST else None
+        given = [bit for bit in (TRUN_DURATION, TRUN_SIZE, TRUN_FLAGS, TRUN_TIME) if bits & bit]
+        rows = body.rows(f"{len(given)}I", n) if given else [()] * body.claimed(n)
+        for i, row in enumerate(rows):
+            own = dict(zip(given, row, strict=True))
+            flags = first if first is not None and i == 0 else own.get(TRUN_FLAGS, self.flags)
+            if not flags & DEPENDS:
+                track.keys.append(len(track.samples))
+            size = own.get(TRUN_SIZE, self.size)
+            track.samples.append((self.next, size))
+            track.duration += own.get(TRUN_DURATION, self.duration)
+            self.next += size
+
+
+def read_movie(data: bytes) -> list[Track]:
+    """The tracks of a file in order of their boxes, the samples of its fragments included."""
+    tracks: list[Track] = []
+    tables: list[dict[bytes, Body]] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragments: list[tuple[Body, int, list[Body]]] = []
+    moof = 0
+    for path, start, a, b in walk(data):
+        kind, body = path[-1], Body(data, path[-1], a, b)
+        long = data[a : a + 1] == b"\1"
+        if kind == b"trak":
+            tracks.append(Track())
+            tables.append({})
+        elif kind == b"moof":
+            moof = start
+        elif kind == b"trex":
+            _, track, _, *rest = body.row("6I")
+            defaults[track] = tuple(rest)
+        elif kind == b"tfhd":
+            fragments.append((body, moof, []))
+        elif kind == b"trun" and fragments:
+            fragments[-1][2].append(body)
+        elif tracks and kind == b"tkhd":
+            tracks[-1].track_id = body.row("I2QI" if long else "I2II")[-1]
+        elif tracks and kind == b"mdhd":
+            tracks[-1].timescale, tracks[-1].duration = body.row("I2QIQ" if long else "I2III")[-2:]
+        elif tracks and path[-2:] == (b"mdia", b"hdlr"):
+            tracks[-1].handler = body.row("2I4s")[-1].decode("latin-1")
+        elif tracks and path[-2:-1] == (b"stbl",):
+            tables[-1][kind] = body
+    for track, boxes in zip(tracks, tables, strict=True):
+        decode_tables(track, boxes)
+    by_id = {t.track_id: t for t in tracks}
+    last: tuple[int, Fragment] | None = None
+    for body, moof, runs in fragments:
+        fragment = Fragment(body, defaults, moof, last[1] if last and last[0] == moof else None)
+        if fragment.track not in by_id:
+            raise ValueError(f"a fragment is of track {fragment.track}, which the file does not have")
+        for run in runs:
+            fragment.add(run, by_id[fragment.track])
+        last = moof, fragment
+    return tracks
+
+
+def feature_of(track: Track) -> str:
     """codec, seconds, frames, and the keyframes' count, first and last range and checksum."""
-    keys = movie["keyframes"]
+    keys = track.keyframes
     packed = b"".join(struct.pack(">2Q", *k) for k in keys)
-    return f"codec={movie['codec'].strip()};seconds={movie['duration'] / movie['timescale']:.3f};samples={len(movie['samples'])};keyframes={len(keys)};first={keys[0][0]}-{keys[0][1]};last={keys[-1][0]}-{keys[-1][1]};ranges={zlib.crc32(packed):08x}"
+    return f"codec={track.codec.strip()};seconds={track.duration / track.timescale:.3f};samples={len(track.samples)};keyframes={len(keys)};first={keys[0][0]}-{keys[0][1]};last={keys[-1][0]}-{keys[-1][1]};ranges={zlib.crc32(packed):08x}"
+
+
+TRACKS = pa.list_(pa.struct([
+    ("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("missing", pa.int64()),
+    ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+]))
+TRACKS_DDL = "array<struct<track_id:bigint,handler:string,codec:string,timescale:bigint,duration:bigint,samples:bigint,missing:bigint,keyframes:array<struct<start:bigint,stop:bigint>>>>"
+
+
+def status_and_tracks(data: bytes | None) -> tuple[str, list[dict]]:
+    if data is None:
+        return "null", []
+    try:
+        tracks = read_movie(data)
+    except ValueError as e:
+        return str(e), []
+    return "ok", [
+        {
+            "track_id": t.track_id, "handler": t.handler, "codec": t.codec.strip(), "timescale": t.timescale, "duration": min(t.duration, MOST), "samples": len(t.samples),
+            "missing": sum(sum(x) > len(data) for x in t.samples), "keyframes": [{"start": min(a, MOST), "stop": min(b, MOST)} for a, b in t.keyframes],
+        }
+        for t in tracks
+    ]
+
+
+def read_media(files: DataFrame, media_col: str = "media", status_col: str = "media_status", tracks_col: str = "media_tracks") -> DataFrame:
+    """`files` with the status of the media file in a binary column and its tracks (TRACKS_DDL); columns of these two names are replaced."""
+    kept = [c for c in files.columns if c not in (status_col, tracks_col)]
+    rows = files.select(F.struct(*[files[c] for c in kept]).alias("whole"), files[media_col].cast("binary").alias("media"))
+    ddl = T.StructType([rows.schema["whole"], T.StructField("status", T.StringType()), T.StructField("tracks", T._parse_datatype_string(TRACKS_DDL))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                found = [status_and_tracks(x.as_py()) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in found], pa.string()), pa.array([t for _, t in found], TRACKS)], names=["whole", "status", "tracks"])
+
+    return rows.mapInArrow(run, ddl).select("whole.*", F.col("status").alias(status_col), F.col("tracks").alias(tracks_col))
 
 
 ROW = pa.schema([
@@ -178,8 +360,8 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for i, t in zip(ids, texts, strict=True):
                 payload, n = payload_of(t)
                 media = write_movie(payload)
-                movie = read_movie(media)
-                rows.append({"doc_id": i, "n_bytes": n, "media": media, "codec": movie["codec"].strip(), "duration_ms": movie["duration"] * 1000 // movie["timescale"], "keyframes": [{"start": a, "stop": b} for a, b in movie["keyframes"]]})
+                (movie,) = read_movie(media)
+                rows.append({"doc_id": i, "n_bytes": n, "media": media, "codec": movie.codec.strip(), "duration_ms": movie.duration * 1000 // movie.timescale, "keyframes": [{"start": a, "stop": b} for a, b in movie.keyframes]})
             yield pa.RecordBatch.from_pylist(rows, MEDIA)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, MEDIA_DDL)
@@ -194,8 +376,8 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for i, t in zip(ids, texts, strict=True):
                 payload, n = payload_of(t)
                 media = write_movie(payload)
-                movie = read_movie(media)
-                back = b"".join(media[a : a + size] for a, size in movie["samples"])
+                (movie,) = read_movie(media)
+                back = b"".join(media[a : a + size] for a, size in movie.samples)
                 rows.append({"doc_id": i, "n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature_of(movie)})
             yield pa.RecordBatch.from_pylist(rows, ROW)
 
