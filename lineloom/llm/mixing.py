@@ -8,7 +8,7 @@ tokens meet its target. Rates are then rounded to whole copies: all rows of a so
 by a hash less the fraction of their rate, and the rank up to which they get one copy more is
 chosen so that the source's tokens come as near its target as a whole document allows.
 
-Defined results: null text has size 0; the null source comes last; sources without tokens have
+Defined results: null text has size 0; a document of size 0 is taken once; the null source comes last; sources without tokens have
 target 0; rows that repeat an id are rounded alike; an empty table gives an empty result. Sums
 are exact decimals, so reruns agree.
 """

@@ -4,7 +4,8 @@ Items carry (bytes, tokens, rows) as shares of all. Texts are grouped by digest;
 holds a sizeable share is an item of its own, split into pieces where one shard could not take
 it, and all other groups share a fixed number of buckets by digest, so equal texts stay
 together. Items are few however large the table is: they are placed one by one, largest first,
-in the shard where the dot product with the residual capacity is highest.
+in the shard where the dot product with the residual capacity is highest (of equal items and of
+equal shards the first; items are in order of their names).
 
 Slots are dealt in units of bounded rows: a unit's offset within its shard plus its row number.
 

@@ -25,8 +25,9 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARKER = "▁"
 #: What a character without a piece costs beyond the least score of the vocabulary.
@@ -295,36 +296,39 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, list]]:
         yield at, run
 
 
+def beside(df: DataFrame, out_col: str, value: Column) -> DataFrame:
+    """All columns of df but out_col as one, and `value`; so no name of df is in the way."""
+    return df.select(F.struct(*[df[c] for c in df.columns if c != out_col]).alias("whole"), value.alias("value"))
+
+
 def encode(docs: DataFrame, text_col: str = "text", out_col: str = "piece_ids", model: str = DEFAULT_MODEL) -> DataFrame:
     """`docs` with the piece ids of each text, array<int>."""
     v = docs.sparkSession.sparkContext.broadcast(load(model))  # a vocabulary: its size is the model's
-    kept = [c for c in docs.columns if c != out_col]
-    rows = docs.select(*[docs[c] for c in kept], docs[text_col].cast("string").alias("__text"))
-    schema = rows.drop("__text").withColumn(out_col, F.lit(None).cast("array<int>")).schema
+    rows = beside(docs, out_col, docs[text_col].cast("string"))
+    schema = T.StructType([rows.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Segments(v.value)
         for b in batches:
-            for at, texts in _parts(b.column(b.num_columns - 1)):
+            for at, texts in _parts(b.column(1)):
                 ids = pa.array([None if t is None else x for t, x in zip(texts, words.encode([t or "" for t in texts]), strict=True)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(texts)) for c in b.columns[:-1]], ids], names=[*b.schema.names[:-1], out_col])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), ids], names=["whole", "ids"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select("whole.*", F.col("ids").alias(out_col))
 
 
 def decode(encoded: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded", model: str = DEFAULT_MODEL) -> DataFrame:
     """`encoded` with the text of its piece ids."""
     v = encoded.sparkSession.sparkContext.broadcast(load(model))
-    kept = [c for c in encoded.columns if c != out_col]
-    rows = encoded.select(*[encoded[c] for c in kept], encoded[ids_col].alias("__ids"))
-    schema = rows.drop("__ids").withColumn(out_col, F.lit(None).cast("string")).schema
+    rows = beside(encoded, out_col, encoded[ids_col])
+    schema = T.StructType([rows.schema[0], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pa.array([None if x.as_py() is None else decode_bytes(np.array(x.as_py(), np.int32), v.value).decode("utf-8", "replace") for x in b.column(b.num_columns - 1)], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*b.schema.names[:-1], out_col])
+            texts = pa.array([None if x.as_py() is None else decode_bytes(np.array(x.as_py(), np.int32), v.value).decode("utf-8", "replace") for x in b.column(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), texts], names=["whole", "text"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select("whole.*", F.col("text").alias(out_col))
 
 
 def piece_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:

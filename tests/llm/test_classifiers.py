@@ -85,6 +85,20 @@ def test_compiled_rules_equal_the_model(spark):
     assert np.allclose(got, want)
 
 
+def test_weights_are_those_of_the_lasso():
+    """At the optimum a kept rule's pull equals the penalty, and the bias has none."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(1500, 3))
+    y = (r.random(1500) < 1 / (1 + np.exp(-(2 * (x[:, 0] > 0.3) - 1.5 * (x[:, 1] < -0.2))))).astype(float)
+    model = quality.fit_rules(x, y)
+    error = y - model.score(x)
+    assert model.rules and abs(error.mean()) < 1e-4
+    for w, terms in model.rules:
+        hits = quality.holds(x, terms).astype(float)
+        pull = ((hits - hits.mean()) / hits.std()) @ error / len(y)
+        assert abs(pull - np.sign(w) * quality.LASSO) < 2e-4
+
+
 def enumerate_marginals(model, words):
     """P(toxic) of each token from all state sequences."""
     emit = [toxicity.Emissions(model)[w] + model.bias for w in words]

@@ -1,3 +1,4 @@
+import random
 import re
 
 from lineloom.llm import licenses, queries
@@ -40,3 +41,41 @@ def test_notices_survive_edits_and_below_the_threshold_are_none(spark):
     assert out[2].labels == "" and out[3].labels == "" and out[3].score == 0
     span = licenses.scan(cases.frame(spark, [(1, edited, "", "", 0)])).first().spans[0]
     assert (span.first, span.last) == (30, 30 + len(licenses.words_of(NOTICES[0][0])))
+
+
+def labels_by_hand(text):
+    """Labels and score: every template's grams looked up one by one, places of one stretch taken together."""
+    words = licenses.words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, score = set(), 0.0
+    for t in licenses.templates():
+        grams = [tuple(t["words"][i : i + t["k"]]) for i in range(len(t["words"]) - t["k"] + 1)]
+        votes = sorted({(p - at, at) for p in range(len(words) - t["k"] + 1) for at, g in enumerate(grams) if tuple(words[p : p + t["k"]]) == g})
+        reach = licenses.NEAR if t["kind"] == "notice" else 0
+        found, before = set(), None
+        for diagonal, at in [*votes, (1 << 40, -1)]:
+            if before is not None and diagonal - before > reach:
+                share = len(found) / len(grams)
+                if share >= (licenses.MIN_SIMILARITY if t["kind"] == "notice" else 1.0):
+                    labels.add(t["label"])
+                    score = max(score, share)
+                found = set()
+            found.add(at)
+            before = diagonal
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_and_scores_match_brute_force(spark):
+    r = random.Random(2)
+    texts = list(TEXTS)
+    for text, _ in NOTICES[:4]:
+        words = text.split()
+        for edits in (1, 4, 12):
+            w = list(words)
+            for _ in range(edits):
+                at = r.randrange(len(w))
+                w[at : at + r.randint(0, 2)] = ["other"] * r.randint(0, 6)
+            texts.append(" ".join(["before"] * r.randint(0, 9) + w + w[: len(w) // 2]))
+    out = {x.doc_id: (x.labels, x.score) for x in licenses.license_rows(cases.frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        labels, score = labels_by_hand(t)
+        assert out[i][0] == labels and abs(out[i][1] - score) < 1e-12

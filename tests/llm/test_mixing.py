@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from lineloom.llm import mixing, queries
@@ -59,3 +60,33 @@ def test_mix_repeats_rows_and_keeps_columns(spark):
     assert out.count() == taken
     assert mixing.mix(cases.empty(spark)).count() == 0
     assert mixing.mix_rows(cases.empty(spark)).count() == 0
+
+
+def test_rates_are_the_exponentially_tilted_optimum(spark):
+    rows = [(i, "w " * (1 + i * 37 % 90), "en", f"s{i % 9 % 5}", 0) for i in range(900)] + [(10_000 + i, "w " * 400, "en", "tiny", 0) for i in range(3)]
+    docs = cases.frame(spark, rows)
+    params = {r.key: r for r in mixing.plan(docs)[1].collect()}
+    sizes = defaultdict(list)
+    for r in rows:
+        sizes["0" + r[3]].append(words(r[1]))
+    goal = fill({k[1:]: sum(v) for k, v in sizes.items()})
+    assert set(params) == set(sizes)
+    for key, found in sizes.items():
+        size, mean = np.array(found, float), np.mean(found)
+        got = lambda lam: (size * np.minimum(3, np.exp(lam * size / mean))).sum()  # noqa: E731, B023
+        low, high = -200.0, 200.0
+        for _ in range(200):  # tokens grow with lam, so halving finds the one root
+            low, high = ((low + high) / 2, high) if got((low + high) / 2) < goal[key[1:]] else (low, (low + high) / 2)
+        if goal[key[1:]] < 3 * size.sum():
+            assert abs(params[key].lam - low) < 1e-5 * max(1, abs(low))
+        assert abs(got(params[key].lam) - goal[key[1:]]) <= 1e-6 * goal[key[1:]]
+    # and the copies taken come as near as whole documents allow
+    taken, source = defaultdict(int), {r[0]: r[3] for r in rows}
+    for r in mixing.mix_rows(docs).collect():
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(t - goal[s]) <= (400 if s == "tiny" else 90) for s, t in taken.items())
+
+
+def test_empty_documents_stay_once(spark):
+    docs = cases.frame(spark, [(1, None, "", "a", 0), (2, "", "", "a", 0), (3, " \n", "", "b", 0), (4, "w", "", "b", 0)])
+    assert sorted(r.doc_id for r in mixing.mix(docs).collect() if r.doc_id < 4) == [1, 2, 3]

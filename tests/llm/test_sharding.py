@@ -43,3 +43,19 @@ def test_awkward_empty_and_hot(spark):
 def test_files_hold_every_row(spark, tmp_path):
     sharding.write_shards(spark, cases.frame(spark), f"{tmp_path}/shards")
     assert spark.read.parquet(f"{tmp_path}/shards").agg(F.count("*")).first()[0] == len(cases.awkward())
+
+
+def test_items_go_where_the_dot_product_is_highest():
+    r = np.random.default_rng(4)
+    vectors = r.pareto(1.5, (200, 3))
+    vectors /= vectors.sum(0)
+    left = [list(sharding.WEIGHTS) for _ in range(24)]
+    want = [0] * 200
+    need = [[v * 24 * w for v, w in zip(row, sharding.WEIGHTS, strict=True)] for row in vectors.tolist()]
+    for i in sorted(range(200), key=lambda i: -max(need[i])):
+        fits = [sum(a * b for a, b in zip(free, need[i], strict=True)) for free in left]
+        want[i] = max(range(24), key=lambda s: fits[s])
+        left[want[i]] = [a - b for a, b in zip(left[want[i]], need[i], strict=True)]
+    assert sharding.pack(vectors, 24).tolist() == want
+    # ties: of equal items the first, of equal shards the first
+    assert sharding.pack(np.full((4, 3), 0.25), 2).tolist() == [0, 1, 0, 1]

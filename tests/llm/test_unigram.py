@@ -83,3 +83,17 @@ def test_encode_and_decode_frames(spark, tmp_path):
     rows = queries.op8_unigram_pieces(spark, cases.table(spark, tmp_path, cases.frame(spark))).collect()
     assert len(rows) == len(cases.awkward()) and all(r.exact for r in rows)
     assert unigram.piece_rows(cases.empty(spark)).count() == 0
+
+
+def test_names_that_the_operator_uses_itself(spark):
+    docs = cases.frame(spark, [(1, "a b", "", "", 0), (2, None, "", "", 0)]).selectExpr("*", "'x' as __text", "2 as __ids")
+    out = unigram.decode(unigram.encode(docs)).orderBy("doc_id").collect()
+    assert [(r["__text"], r["__ids"], r.decoded) for r in out] == [("x", 2, "a b"), ("x", 2, None)]
+
+
+def test_ties_go_to_the_last_piece_that_starts_first():
+    keys = [b"a", b"aa", b"aaa", b" "]
+    base, check, piece = unigram.double_array(keys, [0, 1, 2, 3])
+    v = unigram.Vocabulary(base, check, piece, np.array([-1.0, -2.0, -3.0, -1.0]), keys, np.zeros(256, np.int32), -9.0, 3, True)
+    for word, want in ((b"aa", [1]), (b"aaa", [2]), (b"aaaa", [0, 2]), (b"aaaaa", [1, 2])):
+        assert unigram.segment([word], v)[0].tolist() == want
