@@ -66,7 +66,7 @@ def multipliers(histogram: DataFrame, goals: DataFrame, limit: float = LIMIT) ->
     """goals (key, source_size, target) with mean and lam. histogram: key, size, n."""
     shape = histogram.where("size > 0").groupBy("key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
     x = F.col("least") / F.col("mean")
-    share = F.col("target") / F.col("source_size")
+    share = F.try_divide("target", "source_size")  # null of a source without tokens, which has nothing to solve
     now = goals.join(shape, "key", "left").select(
         "key", "source_size", "target", F.coalesce("mean", F.lit(0.0)).alias("mean"),
         # every rate is at the limit at `high`, and no tokens above the target are left at `low`

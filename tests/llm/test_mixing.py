@@ -90,3 +90,4 @@ def test_rates_are_the_exponentially_tilted_optimum(spark):
 def test_empty_documents_stay_once(spark):
     docs = cases.frame(spark, [(1, None, "", "a", 0), (2, "", "", "a", 0), (3, " \n", "", "b", 0), (4, "w", "", "b", 0)])
     assert sorted(r.doc_id for r in mixing.mix(docs).collect() if r.doc_id < 4) == [1, 2, 3]
+    assert sorted(r.doc_id for r in mixing.mix(docs.where("doc_id < 4")).collect()) == [1, 2, 3]
