@@ -20,14 +20,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineloom.llm.common import SPACED_WORD, spool
+from lineloom.llm.common import SPACED_WORD, drop_spool, spool
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Copies of a document, and multiple of a source's tokens, at most.
 LIMIT = 3
 TOLERANCE, MOST_STEPS = 1e-9, 80
-BINS = 1 << 16
+#: Bins of a level, and levels, within which the rank of the cut is sought; FANOUT is a power of 2.
+FANOUT, LEVELS = 256, 3
 EXACT = "decimal(38,6)"
 
 
@@ -91,39 +92,51 @@ def multipliers(histogram: DataFrame, goals: DataFrame, limit: float = LIMIT) ->
             F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"), F.when(F.col("done"), F.col("high")).otherwise(high).alias("high"),
             F.when(done, F.col("lam")).otherwise(F.when(inside, newton).otherwise((low + high) / 2)).alias("lam"), done.alias("done"),
         )
-        now = spool(step, "multipliers")
+        last, now = now, spool(step, "multipliers")
+        drop_spool(last)
         if now.where("not done").isEmpty():
             break
     return now.select("key", "source_size", "target", "mean", "lam")
 
 
 def copy_parts(size: Column, place: Column, limit: float = LIMIT) -> tuple[Column, Column]:
-    """Of columns lam and mean: sure copies, and the row's rank, at or below `cut` it gets one more."""
+    """Of columns lam and mean: sure copies, and the row's rank; the least ranks get one more."""
     w = F.least(rate(F.col("lam"), size, F.col("mean"), limit), F.lit(float(limit)))
     sure = F.floor(w).cast("long")
     uniform = F.shiftrightunsigned(place, 12) / F.lit(float(1 << 52))
     return sure, F.when(w < limit, uniform - (w - sure))
 
 
+def bin_of(rank: Column, level: int = LEVELS) -> Column:
+    """The bin of a rank, between -1 and 1, among the FANOUT ** level bins of a level."""
+    return F.shiftright(F.floor((rank + 1) * (FANOUT**LEVELS // 2)).cast("long"), (LEVELS - level) * (FANOUT.bit_length() - 1))
+
+
 def cuts(rows: DataFrame, params: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """params with cut. rows: key, size, place."""
+    """params with cut_bin and cut: ranks of lower bins, and those up to `cut` of this bin, get one copy more.
+
+    rows: key, size, place. The bin is narrowed down level by level: a source brings FANOUT sums to
+    a task at most, however many rows it has.
+    """
     sure, rank = copy_parts(F.col("size"), F.col("place"), limit)
     ranked = rows.where("size > 0").join(params, "key").select("key", "size", sure.alias("sure"), rank.alias("rank"))
-    bin_ = F.floor((F.col("rank") + 1) * (BINS // 2)).cast("int")
-    # the bin of the cut, from sums of bins; the sure copies' tokens come along under bin null
-    sums = ranked.groupBy("key", bin_.alias("bin")).agg(F.sum("size").alias("tokens"), F.sum(F.col("sure") * F.col("size")).alias("sure"))
-    by_key = Window.partitionBy("key")
-    running = F.sum(F.when(F.col("bin").isNotNull(), F.col("tokens")).otherwise(0)).over(by_key.orderBy(F.asc_nulls_first("bin")))
-    sums = sums.join(params.select("key", "target"), "key").withColumn("need", F.col("target") - F.sum("sure").over(by_key)).withColumn("upto", running)
-    bins = sums.where("bin is not null and upto >= need").groupBy("key").agg(F.min(F.struct("bin", (F.col("upto") - F.col("tokens")).alias("before"), "need")).alias("b")).select("key", "b.*")
+    surely = ranked.groupBy("key").agg(F.sum(F.col("sure") * F.col("size")).alias("sure"))
+    now = params.join(surely, "key").select("key", (F.col("target") - F.col("sure")).alias("need"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("bin"))
+    ranked = ranked.where("rank is not null").drop("sure")
+    for level in range(1, LEVELS + 1):
+        inside = ranked.join(now.withColumnRenamed("bin", "above"), "key").where(bin_of(F.col("rank"), level - 1) == F.col("above"))
+        sums = inside.groupBy("key", "need", "before", bin_of(F.col("rank"), level).alias("bin")).agg(F.sum("size").alias("tokens"))
+        upto = F.col("before") + F.sum("tokens").over(Window.partitionBy("key").orderBy("bin"))
+        edge = sums.withColumn("upto", upto).where("upto >= need").groupBy("key").agg(F.min(F.struct("bin", (F.col("upto") - F.col("tokens")).alias("before"), "need")).alias("b"))
+        now = spool(edge.select("key", "b.*"), "mix-bins")
     # within that bin, rank by rank; equal ranks are one
-    edge = ranked.withColumn("bin", bin_).join(bins, ["key", "bin"]).groupBy("key", "rank", "before", "need", "bin").agg(F.sum("size").alias("tokens"))
-    missing = F.abs(F.col("before") + F.sum("tokens").over(Window.partitionBy("key").orderBy("rank")) - F.col("need"))
-    best = edge.withColumn("off", missing).groupBy("key").agg(F.min(F.struct("off", "rank")).alias("best"), F.first("before").alias("before"), F.first("need").alias("need"), F.first("bin").alias("bin"))
-    none = F.col("bin") / (BINS // 2) - 1 - 1e-9
-    best = best.select("key", F.when(F.abs(F.col("before") - F.col("need")) <= F.col("best.off"), none).otherwise(F.col("best.rank")).alias("cut"))
+    edge = ranked.withColumn("bin", bin_of(F.col("rank"))).join(now, ["key", "bin"]).groupBy("key", "rank", "before", "need").agg(F.sum("size").alias("tokens"))
+    off = F.abs(F.col("before") + F.sum("tokens").over(Window.partitionBy("key").orderBy("rank")) - F.col("need"))
+    best = edge.withColumn("off", off).groupBy("key").agg(F.min(F.struct("off", "rank")).alias("best"))
+    # none of the bin's, if that comes nearer
+    best = now.join(best, "key").select("key", F.col("bin").alias("cut_bin"), F.when(F.abs(F.col("before") - F.col("need")) <= F.col("best.off"), -2.0).otherwise(F.col("best.rank")).alias("cut"))
     # a source whose bins all lie below the need takes every one
-    return params.join(best, "key", "left").withColumn("cut", F.coalesce("cut", F.lit(2.0)))
+    return params.join(best, "key", "left").withColumns({"cut_bin": F.coalesce("cut_bin", F.lit(FANOUT**LEVELS)), "cut": F.coalesce("cut", F.lit(2.0))})
 
 
 def place_of(doc_id: Column, size: Column) -> Column:
@@ -131,7 +144,7 @@ def place_of(doc_id: Column, size: Column) -> Column:
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(rows, params): rows (id, key, size, place) of docs; params (key, source_size, target, mean, lam, cut)."""
+    """(rows, params): rows (id, key, size, place) of docs; params (key, source_size, target, mean, lam, cut_bin, cut)."""
     size = size_of(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("key"), size.alias("size"))
     rows = spool(rows.withColumn("place", place_of(F.col("id"), F.col("size"))), "sizes")
@@ -141,9 +154,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def copies_of(rows: DataFrame, limit: float = LIMIT) -> Column:
-    """Whole copies of each of rows (size, place, lam, mean, cut)."""
+    """Whole copies of each of rows (size, place, lam, mean, cut_bin, cut)."""
     sure, rank = copy_parts(F.col("size"), F.col("place"), limit)
-    return F.when(F.col("size") == 0, F.lit(1)).otherwise(sure + F.coalesce((rank <= F.col("cut")).cast("long"), F.lit(0)))
+    more = (bin_of(rank) < F.col("cut_bin")) | ((bin_of(rank) == F.col("cut_bin")) & (rank <= F.col("cut")))
+    return F.when(F.col("size") == 0, F.lit(1)).otherwise(sure + F.coalesce(more.cast("long"), F.lit(0)))
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
