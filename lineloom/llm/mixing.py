@@ -121,7 +121,8 @@ def cuts(rows: DataFrame, params: DataFrame, limit: float = LIMIT) -> DataFrame:
     sure, rank = copy_parts(F.col("size"), F.col("place"), limit)
     ranked = rows.where("size > 0").join(params, "key").select("key", "size", sure.alias("sure"), rank.alias("rank"))
     surely = ranked.groupBy("key").agg(F.sum(F.col("sure") * F.col("size")).alias("sure"))
-    now = params.join(surely, "key").select("key", (F.col("target") - F.col("sure")).alias("need"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("bin"))
+    # written, so that its size is known: a row for each source is broadcast, and rows need not meet by source
+    now = spool(params.join(surely, "key").select("key", (F.col("target") - F.col("sure")).alias("need"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("bin")), "mix-bins")
     ranked = ranked.where("rank is not null").drop("sure")
     for level in range(1, LEVELS + 1):
         inside = ranked.join(now.withColumnRenamed("bin", "above"), "key").where(bin_of(F.col("rank"), level - 1) == F.col("above"))
