@@ -57,7 +57,7 @@ o AS (SELECT *, count(*) OVER (PARTITION BY norm) AS n, row_number() OVER p AS r
 
 TOUCH_SQL = """
 s AS (SELECT *, '<' || s_suppkey || '@' || s_nationkey || '>' AS mail FROM supplier),
-t AS (SELECT l_orderkey AS commit_id, p_brand || '/' || p_size AS file_path, s_name AS actor_name, mail AS actor_mail, l_shipdate AS commit_ts,
+t AS (SELECT l_orderkey * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS commit_id, p_brand || '/' || p_size AS file_path, s_name AS actor_name, mail AS actor_mail, l_shipdate AS commit_ts,
   lag(l_shipdate) OVER w AS src_ts, lag(s_name) OVER w AS src_name, lag(mail) OVER w AS src_mail
   FROM lineitem JOIN s ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WINDOW w AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey)),
 k AS (SELECT *, date_diff('microsecond', src_ts, commit_ts) / 86400e6 AS age_days,
@@ -210,11 +210,36 @@ def dup_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.duplicate_islands(_ownership(spark, sf_dir).found, K)
 
 
-@query()
+# runs in order, their texts' occurrences as spans, and each span's first claimer that isn't itself
+GROUPS_SQL = (
+    WINDOWS_SQL
+    + """,
+i AS (SELECT file_path, line_number, line_number + 3 AS stop, norm, max(line_number + 3) OVER (PARTITION BY file_path ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o WHERE n > 1),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR line_number > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line_number) AS island FROM i),
+runs AS (SELECT file_path, island, min(line_number) AS a, max(stop) AS b, row_number() OVER (ORDER BY file_path, min(line_number)) AS place FROM g GROUP BY file_path, island),
+hits AS (SELECT DISTINCT r.place, x.file_path, x.line_number, x.stop FROM runs r JOIN g USING (file_path, island) JOIN g x ON x.norm = g.norm),
+edges AS (SELECT *, max(stop) OVER (PARTITION BY place, file_path ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hits),
+marks AS (SELECT *, sum(CASE WHEN before IS NULL OR line_number > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY place, file_path ORDER BY line_number) AS part FROM edges),
+spans AS (SELECT place, file_path, min(line_number) AS a, max(stop) AS b FROM marks GROUP BY place, file_path, part),
+others AS (SELECT s.*, r.place AS own FROM spans s LEFT JOIN runs r ON r.file_path = s.file_path AND r.a = s.a AND r.b = s.b WHERE r.place IS DISTINCT FROM s.place),
+claims AS (SELECT file_path, a, b, any_value(own) AS own, min(place) AS place FROM others GROUP BY file_path, a, b),
+heads AS (SELECT r.* FROM runs r LEFT JOIN claims c ON c.own = r.place WHERE c.place IS NULL OR c.place > r.place),
+rel AS (SELECT h.place, c.file_path, c.a, c.b FROM heads h JOIN claims c USING (place) WHERE c.own IS NULL OR c.own > c.place)"""
+)
+
+
+@query(f"""WITH {GROUPS_SQL} SELECT h.file_path, h.a AS line_number, (h.b - h.a + 1)::INT AS line_count, count(r.place) AS related_runs, coalesce(sum(r.b - r.a + 1), 0)::BIGINT AS related_count
+FROM heads h LEFT JOIN rel r USING (place) GROUP BY ALL""")
 def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ownership(spark, sf_dir).groups
 
 
+@query(f"""WITH {GROUPS_SQL} SELECT h.file_path, h.a AS line_number, (h.b - h.a + 1)::INT AS line_count, r.file_path AS related_path, r.a AS related_line, (r.b - r.a + 1)::INT AS related_lines
+FROM heads h JOIN rel r USING (place)""")
+def dup_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ownership(spark, sf_dir).related
+
+
 # ---- changes
 
 
@@ -397,17 +422,11 @@ def series_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _periods(spark: SparkSession, sf_dir: str) -> changes_plan.Changes:
-    touches = adapters.lineitem_as_touches(spark, sf_dir).withColumn("when", F.col("commit_ts"))
-    return changes_plan.analyse_series(touches, series.period_of(F.col("commit_ts"), PERIOD_END, PERIOD_DAYS))
+    touches = adapters.lineitem_as_touches(spark, sf_dir)
+    return changes_plan.analyse(touches.withColumn("period", series.period_of(F.col("commit_ts"), PERIOD_END, PERIOD_DAYS)), keys=("period",))
 
 
-# a contribution counts once for every period in which its commit touched its file
-PERIODS_SQL = (
-    PARTS_SQL
-    + f""",
-q AS (SELECT DISTINCT commit_id, file_path, floor(date_diff('microsecond', commit_ts, {ts(PERIOD_END)}) / {PERIOD_DAYS * 86400e6})::INT AS period FROM k),
-p AS (SELECT period, c0.* FROM c0 JOIN q USING (commit_id, file_path))"""
-)
+PERIODS_SQL = PARTS_SQL + f", p AS (SELECT floor(date_diff('microsecond', commit_ts, {ts(PERIOD_END)}) / {PERIOD_DAYS * 86400e6})::INT AS period, c0.* FROM c0)"
 
 
 @query(f"WITH {PERIODS_SQL} SELECT period, count(DISTINCT commit_id) AS commits, count(DISTINCT file_path) AS files, {SUMS_SQL} FROM p GROUP BY 1")

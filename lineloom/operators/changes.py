@@ -30,9 +30,9 @@ def classified(touches: DataFrame, refactor_after_hours: int = REFACTOR_AFTER_HO
     return touches.withColumn("kind", kind(refactor_after_hours)).withColumn("age_days", age)
 
 
-def contributions(touches: DataFrame) -> DataFrame:
+def contributions(touches: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """What each classified touch adds, by author: to the one who touched, and to the one whose
-    line another changed. `touch` marks the former."""
+    line another changed. `touch` marks the former. keys: further columns to carry along."""
 
     def measures(who: str, mail: str, touch: bool, given: dict[str, Column], age: Column) -> Column:
         zero = F.lit(0).cast("bigint")
@@ -45,11 +45,16 @@ def contributions(touches: DataFrame) -> DataFrame:
     actor = measures("actor_name", "actor_mail", True, if_kind, F.when(is_new, 0.0).otherwise(F.col("age_days") * n))
     received = {"refactor_received": F.when(F.col("kind") == "refactor_other", n).otherwise(0), "churn_received": F.when(F.col("kind") == "churn_other", n).otherwise(0)}
     owner = F.when(F.col("kind").isin("refactor_other", "churn_other"), measures("src_author_name", "src_author_mail", False, received, F.lit(0.0)))
-    return touches.select("commit_id", "file_path", F.inline(F.filter(F.array(actor, owner), lambda x: x.isNotNull())))
+    return touches.select(*keys, "commit_id", "file_path", F.inline(F.filter(F.array(actor, owner), lambda x: x.isNotNull())))
 
 
-def counted(parts: DataFrame, author_counts: Column) -> DataFrame:
-    """Contributions of authors that count, of (commit, file) pairs that such an author touched."""
+def counted(parts: DataFrame, author_counts: Column | None) -> DataFrame:
+    """Contributions of authors that count, of (commit, file) pairs that such an author touched.
+
+    None: all authors count, and so does every pair, since each has someone who touched it.
+    """
+    if author_counts is None:
+        return parts
     own = parts.where(author_counts)
     touched = own.where("touch").select("commit_id", "file_path").distinct()
     return own.join(touched, ["commit_id", "file_path"], "left_semi")
@@ -70,13 +75,16 @@ def by_author_file(parts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return parts.groupBy(*keys, "author_name", "author_mail", "file_path").agg(F.sum(given).alias("lines"))
 
 
-def totals(parts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def totals(parts: DataFrame, touched: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """commits, files and all measures, of every contribution.
 
-    Contributions are summed by (commit, file) first, so distinct counts see few rows.
+    touched: commit_id and file_path of what was touched, repeats included. Each count is a count of
+    groups, and the sums need no grouping by commit or file.
     """
-    per_file = parts.groupBy(*keys, "commit_id", "file_path").agg(*sums())
-    return per_file.groupBy(*keys).agg(F.count_distinct("commit_id").alias("commits"), F.count_distinct("file_path").alias("files"), *sums())
+    commits, files = (touched.groupBy(*keys, c).agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count("*").alias(n)) for c, n in (("commit_id", "commits"), ("file_path", "files")))
+    measures = parts.groupBy(*keys).agg(*sums())
+    joined = commits.join(files, list(keys)).join(measures, list(keys)) if keys else commits.join(files).join(measures)  # else three single rows
+    return joined.select(*keys, "commits", "files", *MEASURES, "age_days_sum")
 
 
 def score() -> Column:
@@ -123,6 +131,11 @@ def flows(total: DataFrame) -> DataFrame:
     return total.selectExpr(f"stack({len(links)}, {stack}) as (source, target, lines)")
 
 
+def each_line(first: Column | str, last: Column | str) -> Column:
+    """A row for each line number from first to last."""
+    return F.explode(F.sequence(first, last))
+
+
 def touches_of_hunks(hunks: DataFrame, dst_blame: DataFrame, src_blame: DataFrame, commits: DataFrame) -> DataFrame:
     """Line touches of diff hunks.
 
@@ -143,11 +156,11 @@ def touches_of_hunks(hunks: DataFrame, dst_blame: DataFrame, src_blame: DataFram
         joined = rows.join(dst, ["commit_id", "file_path", "dst_line"])
         return joined.select(*[{**none, "lines": lines.cast("bigint"), "actor_name": F.col("dst_name"), "actor_mail": F.col("dst_mail")}.get(x, F.col(x)).alias(x) for x in out])
 
-    whole = as_new(h.where("op = 'New'").withColumn("dst_line", F.explode(F.sequence("dst_from", "dst_to"))), F.lit(1))
+    whole = as_new(h.where("op = 'New'").withColumn("dst_line", each_line("dst_from", "dst_to")), F.lit(1))
     added = as_new(h.where("op = 'Add'").withColumn("dst_line", F.col("dst_from")).withColumn("n", n_dst), F.col("n"))
-    surplus = h.where("op = 'Change'").where(n_dst > n_src).withColumn("dst_line", F.explode(F.sequence(F.col("dst_from") + n_src, F.col("dst_to"))))
+    surplus = h.where("op = 'Change'").where(n_dst > n_src).withColumn("dst_line", each_line(F.col("dst_from") + n_src, "dst_to"))
     surplus = as_new(surplus, F.lit(1))
-    old = h.where("op in ('Change', 'Delete')").withColumn("src_line", F.explode(F.sequence("src_from", "src_to"))).join(src, ["prev_commit_id", "file_path", "src_line"])
+    old = h.where("op in ('Change', 'Delete')").withColumn("src_line", each_line("src_from", "src_to")).join(src, ["prev_commit_id", "file_path", "src_line"])
     old = old.withColumn("dst_line", F.col("dst_from")).join(dst, ["commit_id", "file_path", "dst_line"], "left")
     deleted = F.col("op") == "Delete"
     changed = old.select(*[{"lines": F.lit(1).cast("bigint"), "actor_name": F.when(deleted, F.col("commit_author_name")).otherwise(F.col("dst_name")), "actor_mail": F.when(deleted, F.col("commit_author_mail")).otherwise(F.col("dst_mail"))}.get(x, F.col(x)).alias(x) for x in out])

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineloom.session import with_checkpoints
-
 #: Lines that never count as duplicates (after white space is removed).
 IGNORED_LINES = r"^\*|^/\*|^#|import|export|from|package"
 #: Fixed value: white space that is removed before lines are compared.
@@ -17,6 +14,8 @@ REMOVED_SPACE = r"[\t\n\f\r ]"
 MIN_LINE_BYTES = 15
 #: What separates the lines of a window: a backslash and an n.
 SEPARATOR = "\\n"
+#: Fixed value: what ends a report that was cut short.
+MORE_RESULTS = '...(use --format "full" for more results)'
 
 
 def windows(lines: DataFrame, k: int, keys: tuple[str, ...] = ("commit_id", "file_path")) -> DataFrame:
@@ -39,17 +38,23 @@ def eligible(norm: Column, min_bytes: int = MIN_LINE_BYTES) -> Column:
     return F.forall(F.split(norm, r"\\n"), lambda line: (F.octet_length(line) >= min_bytes) & ~line.rlike(IGNORED_LINES))
 
 
-def occurrences(lines: DataFrame, k: int, min_bytes: int = MIN_LINE_BYTES, keys: tuple[str, ...] = ("commit_id",)) -> DataFrame:
-    """Eligible windows with `text_key` and, of their text: `n`, `first` (the earliest occurrence), `is_first`.
+def eligible_windows(lines: DataFrame, k: int, min_bytes: int = MIN_LINE_BYTES, keys: tuple[str, ...] = ("commit_id",)) -> DataFrame:
+    """Lines that start an eligible window, with `text_key`, a digest of its normalised text."""
+    found = windows(lines, k, (*keys, "file_path")).where(F.trim("contents") != "").withColumn("norm", normal(F.col("window")))
+    return found.where(eligible(F.col("norm"), min_bytes)).withColumn("text_key", F.unhex(F.sha2("norm", 256))).drop("window", "norm")
+
+
+def occurrences(lines: DataFrame, k: int, min_bytes: int = MIN_LINE_BYTES, keys: tuple[str, ...] = ("commit_id",), least: int = 1) -> DataFrame:
+    """Eligible windows with, of their text: `n`, `first` (the earliest occurrence), `is_first`.
 
     keys: texts are compared within each snapshot. First means least (author_ts, file, line).
+    least: texts that occur less often are left out, before the join that brings n to each window.
     """
-    found = windows(lines, k, (*keys, "file_path")).where(F.trim("contents") != "").withColumn("norm", normal(F.col("window")))
-    found = found.where(eligible(F.col("norm"), min_bytes)).withColumn("text_key", F.unhex(F.sha2("norm", 256)))
+    found = eligible_windows(lines, k, min_bytes, keys)
     at = F.struct("author_ts", "file_path", "line_number", "author_name", "author_mail")
     # pre-aggregated, so that a text which repeats everywhere costs one row per task; no window over it
     texts = found.groupBy(*keys, "text_key").agg(F.count("*").alias("n"), F.min(at).alias("first"))
-    joined = found.drop("window", "norm").join(texts, [*keys, "text_key"])
+    joined = found.join(texts.where(F.col("n") >= least) if least > 1 else texts, [*keys, "text_key"])
     return joined.withColumn("is_first", (F.col("file_path") == F.col("first.file_path")) & (F.col("line_number") == F.col("first.line_number")))
 
 
@@ -73,100 +78,66 @@ def duplicate_islands(found: DataFrame, k: int) -> DataFrame:
     return merged(found.where("n > 1").select("file_path", "line_number", F.lit(k).alias("line_count")))
 
 
-def _runs(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans (file, first, last) merged where they overlap or touch, in order."""
-    out: list[list] = []
-    for path, a, b in sorted(spans):
-        if out and out[-1][0] == path and a <= out[-1][2] + 1:
-            out[-1][2] = max(out[-1][2], b)
-        else:
-            out.append([path, a, b])
-    return [tuple(x) for x in out]
+def run_claims(found: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(runs, related): every run of duplicated lines, and each span with the run that claims it.
 
+    Runs are taken in order of file and line. A run's candidates are the spans that the occurrences
+    of its texts form; it claims those that no run before it has claimed, itself aside, and is a
+    group unless it was claimed. So a span belongs to the first run that has it as a candidate and
+    isn't it, and a run's own place in the order is all that is needed besides: no run waits for another.
 
-def groups_of_component(spans: pd.DataFrame) -> list[dict]:
-    """Duplicate groups of one component. spans: file_path, line_number, line_count, text_key.
-
-    Runs are taken in order; each claims the runs of its texts' occurrences that none before it
-    has claimed, and is itself a group unless it was claimed.
-    """
-    rows = list(zip(spans.file_path, spans.line_number.astype(int), (spans.line_number + spans.line_count - 1).astype(int), spans.text_key, strict=True))
-    by_text: dict = {}
-    for path, a, b, text in rows:
-        by_text.setdefault(text, []).append((path, a, b))
-    runs = _runs([r[:3] for r in rows])
-    texts: dict[tuple, set] = {run: set() for run in runs}
-    starts = sorted(rows, key=lambda r: r[:3])
-    at = 0
-    for path, a, _, text in starts:
-        while not (runs[at][0] == path and runs[at][1] <= a <= runs[at][2]):
-            at += 1
-        texts[runs[at]].add(text)
-    claimed: set = set()
-    related_to: dict[frozenset, list] = {}
-    out = []
-    for run in runs:
-        key = frozenset(texts[run])
-        if key not in related_to:  # runs of the same texts have the same candidates
-            related_to[key] = _runs([s for t in key for s in by_text[t]])
-        related = [r for r in related_to[key] if r != run and r not in claimed]
-        claimed.update(related)
-        if run not in claimed:
-            claimed.add(run)
-            related.sort(key=lambda r: (-(r[2] - r[1]), r[0], -r[1]))
-            out.append({"file_path": run[0], "line_number": run[1], "line_count": run[2] - run[1] + 1, "related": [{"file_path": r[0], "line_number": r[1], "line_count": r[2] - r[1] + 1} for r in related], "related_count": sum(r[2] - r[1] + 1 for r in related)})
-    return out
-
-
-GROUPS = "file_path string, line_number int, line_count int, related array<struct<file_path:string,line_number:int,line_count:int>>, related_count int"
-
-
-def duplicate_groups(found: DataFrame, k: int) -> DataFrame:
-    """Groups of duplicated runs: the run, its related runs, and their lines together.
-
-    Runs linked by common texts form a component; components are independent, and one task takes
-    one component at a time.
+    runs: span (file_path, line_number, line_count), is_group. related: run and span of what groups claim.
+    Runs with the same texts share their candidates, so copies of whole files cost one list for all.
     """
     spans = islands(found.where("n > 1").select("file_path", "line_number", F.lit(k).alias("line_count"), "text_key"))
-    spans = spans.withColumn("run", F.xxhash64("file_path", "island"))
-    links = spans.join(spans.groupBy("text_key").agg(F.min("run").alias("hub")), "text_key").select("run", "hub").distinct()
-    labels = least_labels(links)
-    ready = spans.join(labels, "run").select("component", "file_path", "line_number", "line_count", "text_key")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(text_key=pdf.text_key.map(bytes))
-        return pd.DataFrame(groups_of_component(pdf), columns=["file_path", "line_number", "line_count", "related", "related_count"])
-
-    return ready.groupBy("component").applyInPandas(run, GROUPS)
-
+    end = F.max(F.col("line_number") + F.col("line_count") - 1)
+    # a run's texts are bounded by its file's lines
+    runs = spans.groupBy("file_path", "island").agg(F.min("line_number").alias("line_number"), (end - F.min("line_number") + 1).cast("int").alias("line_count"), F.sort_array(F.collect_set("text_key")).alias("texts"))
+    span = F.struct("file_path", "line_number", "line_count")
+    runs = runs.select(span.alias("run"), F.unhex(F.sha2(F.array_join(F.transform("texts", F.hex), "").cast("binary"), 256)).alias("texts_key"), "texts")
+    # of the runs with the same texts the first claims for all; what is the first itself, the second claims
+    firsts = runs.groupBy("texts_key").agg(F.min("run").alias("first"), F.first("texts").alias("texts"))
+    seconds = runs.join(firsts.select("texts_key", "first"), "texts_key").where("run <> first").groupBy("texts_key").agg(F.min("run").alias("second"))
+    of_texts = firsts.select("texts_key", F.explode("texts").alias("text_key"))
+    candidates = merged(of_texts.join(spans.select("file_path", "line_number", "line_count", "text_key"), "text_key"), ("texts_key", "file_path"))
+    claims = candidates.select("texts_key", span.alias("span")).join(firsts.select("texts_key", "first"), "texts_key").join(seconds, "texts_key", "left")
+    claims = claims.select("span", F.when(F.col("span") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("run")).groupBy("span").agg(F.min("run").alias("run"))
+    known = runs.select(F.col("run").alias("span")).join(claims, "span", "left").select("span", (F.col("run").isNull() | (F.col("run") > F.col("span"))).alias("is_group"))
+    # a run that came before was claimed, by another or by itself
+    later = claims.where("run is not null").join(known.select("span", "is_group"), "span", "left").where("is_group is null or span > run").select("run", "span")
+    groups = known.where("is_group").select(F.col("span").alias("run"))
+    return known, later.join(groups, "run", "left_semi")
 
-def least_labels(links: DataFrame) -> DataFrame:
-    """run, component: the least node that each node of links (run, hub) is connected with.
 
-    Labels spread and shortcut until none changes; each round's table is checkpointed.
-    """
-    with_checkpoints(links.sparkSession)
-    both = links.union(links.select("hub", "run")).distinct().toDF("node", "next").checkpoint()
-    labels = both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("label")).checkpoint()
-    while True:
-        near = both.join(labels.toDF("next", "near"), "next").groupBy("node").agg(F.min("near").alias("near"))
-        spread = labels.join(near, "node").select("node", F.least("label", "near").alias("least"), F.col("label").alias("old"))
-        heads = labels.toDF("least", "up")
-        jumped = spread.join(heads, "least", "left").select("node", F.least("least", F.coalesce("up", "least")).alias("label"), "old").checkpoint()
-        labels = jumped.select("node", "label")
-        if jumped.where("label <> old").isEmpty():
-            return labels.toDF("run", "component")
-
-
-def iterate_groups(groups: DataFrame, related_limit: int | None = None) -> Iterator[str]:
-    """Report lines of groups in order of their lines; with a limit, stops after so many related runs."""
-    shown = 0
-    ordered = groups.orderBy((F.col("line_count") + F.col("related_count")).desc(), "file_path", F.col("line_number").desc())
-    for g in ordered.toLocalIterator():
-        yield f"{g['file_path']}:{g['line_number']} - {g['line_number'] + g['line_count']}"
-        for r in g["related"]:
-            yield f"  {r['file_path']}:{r['line_number']} - {r['line_number'] + r['line_count']}"
-            shown += 1
-            if related_limit is not None and shown > related_limit:
-                yield '...(use --format "full" for more results)'
-                return
+def duplicate_groups(found: DataFrame, k: int) -> DataFrame:
+    """Groups of duplicated runs: file_path, line_number, line_count of the run, how many runs are
+    related to it, and their lines together (related_count)."""
+    runs, related = run_claims(found, k)
+    sums = related.groupBy("run").agg(F.count("*").alias("related_runs"), F.sum("span.line_count").alias("related_count"))
+    groups = runs.where("is_group").select(F.col("span").alias("run")).join(sums, "run", "left")
+    return groups.select("run.*", F.coalesce("related_runs", F.lit(0)).alias("related_runs"), F.coalesce("related_count", F.lit(0)).alias("related_count"))
+
+
+def related_runs(found: DataFrame, k: int) -> DataFrame:
+    """file_path, line_number, line_count of each group's run, and related_path, related_line, related_lines of a run related to it."""
+    _, related = run_claims(found, k)
+    return related.select("run.*", F.col("span.file_path").alias("related_path"), F.col("span.line_number").alias("related_line"), F.col("span.line_count").alias("related_lines"))
+
+
+def iterate_groups(groups: DataFrame, related: DataFrame, related_limit: int | None = None) -> Iterator[str]:
+    """Report lines of groups in order of their lines, each with its related runs in order of theirs;
+    with a limit, stops after so many related runs."""
+    shown, now = 0, None
+    run = ["file_path", "line_number", "line_count"]
+    rows = groups.join(related, run, "left").orderBy((F.col("line_count") + F.col("related_count")).desc(), "file_path", F.col("line_number").desc(), F.col("related_lines").desc(), "related_path", F.col("related_line").desc())
+    for g in rows.toLocalIterator():
+        if (g["file_path"], g["line_number"]) != now:
+            now = g["file_path"], g["line_number"]
+            yield f"{g['file_path']}:{g['line_number']} - {g['line_number'] + g['line_count']}"
+        if g["related_path"] is None:
+            continue
+        yield f"  {g['related_path']}:{g['related_line']} - {g['related_line'] + g['related_lines']}"
+        shown += 1
+        if related_limit is not None and shown > related_limit:
+            yield MORE_RESULTS
+            return

@@ -20,6 +20,11 @@ def author_matches(name: Column, mail: Column, authors: str = ".*", authors_not:
     return keep & ~name.rlike(authors_not) & ~mail.rlike(authors_not) if authors_not else keep
 
 
+def author_filter(name: Column, mail: Column, authors: str = ".*", authors_not: str = "") -> Column | None:
+    """author_matches(), or None if every author does."""
+    return author_matches(name, mail, authors, authors_not) if authors not in ("", ".*") or authors_not else None
+
+
 def text_files(tree: DataFrame, max_bytes: int = 80_000) -> DataFrame:
     """Files of a snapshot that are text and not above `max_bytes`."""
     return tree.where((F.col("size") <= max_bytes) & ~F.col("is_binary"))

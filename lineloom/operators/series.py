@@ -13,11 +13,20 @@ from lineloom.functions.numbers import difference, percent
 def samples(commits: DataFrame, ticks: list[datetime]) -> DataFrame:
     """tick, commit_id, commit_ts: the last commit at or before each tick, each commit once, at its latest tick.
 
-    One aggregate over the commits, with a running best for each tick; ticks come from the driver.
+    A commit is matched with the first tick that it does not lie after, the last commit of each such
+    gap is kept, and a running maximum over the ticks carries it on; the plan is as large for any number of ticks.
     """
-    ts = F.col("commit_ts")
-    best = [F.struct(F.lit(t).alias("tick"), F.max(F.when(ts <= F.lit(t), F.struct("commit_ts", "commit_id"))).alias("c")) for t in ticks]
-    rows = commits.agg(F.array(*best).alias("found")).select(F.inline("found")).where("c is not null")
+    axis = sorted(set(ticks))
+    if not axis:
+        return commits.select(F.col("commit_ts").alias("tick"), "commit_id", "commit_ts").limit(0)
+    marks = F.array(*[F.lit(t) for t in axis])
+    # how many ticks lie before the commit: its gap's place
+    gap = F.size(F.filter(marks, lambda t: t < F.col("commit_ts")))
+    last = commits.select(gap.alias("gap"), F.struct("commit_ts", "commit_id").alias("c")).where(F.col("gap") < len(axis)).groupBy("gap").agg(F.max("c").alias("c"))
+    ticked = commits.sparkSession.createDataFrame(list(enumerate(axis)), "gap int, tick timestamp")
+    # a row for each tick, on one axis
+    upto = F.max("c").over(Window.orderBy("gap").rowsBetween(Window.unboundedPreceding, 0))
+    rows = ticked.join(last, "gap", "left").withColumn("c", upto).where("c is not null")
     return rows.groupBy("c").agg(F.max("tick").alias("tick")).select("tick", F.col("c.commit_id").alias("commit_id"), F.col("c.commit_ts").alias("commit_ts"))
 
 
@@ -55,8 +64,12 @@ def last_of_day(rows: DataFrame, keys: list[str], date: str, order: list[str]) -
 def dense(rows: DataFrame, key: str, date: str, measures: list[str]) -> DataFrame:
     """rows filled up with zeros, so that every key has every date.
 
-    Dates are a chart's axis, one for each sample or period: a single row of them is broadcast.
+    `rows` are the sums that a chart shows, one for each key and date; they are kept, since they give
+    the axes too. Dates are the chart's axis, a value for each sample or period: a row of them is
+    joined to the keys, so the result has keys times dates rows by definition. How it is joined
+    follows from its measured size.
     """
+    rows = rows.persist()
     dates = rows.select(F.lit(1).alias("__one"), date).distinct().groupBy("__one").agg(F.collect_set(date).alias("__dates"))
-    axes = rows.select(key).distinct().withColumn("__one", F.lit(1)).join(F.broadcast(dates), "__one").select(key, F.explode("__dates").alias(date))
+    axes = rows.select(key).distinct().withColumn("__one", F.lit(1)).join(dates, "__one").select(key, F.explode("__dates").alias(date))
     return axes.join(rows, [key, date], "left").select(key, date, *[F.coalesce(m, F.lit(0)).alias(m) for m in measures])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.operators import changes
-from lineloom.operators.filters import author_matches, file_matches
+from lineloom.operators.filters import author_filter, file_matches
 from lineloom.options import ChangesOptions
 
 
@@ -17,11 +17,12 @@ class Changes:
     """Lazy results of one range (of each, with keys)."""
 
     parts: DataFrame
+    touched: DataFrame
     keys: tuple[str, ...] = ()
 
     @property
     def totals(self) -> DataFrame:
-        return changes.totals(self.parts, self.keys)
+        return changes.totals(self.parts, self.touched, self.keys)
 
     @property
     def authors(self) -> DataFrame:
@@ -32,17 +33,16 @@ class Changes:
         return changes.by_author_file(self.parts, self.keys)
 
 
-def analyse(touches: DataFrame, options: ChangesOptions = ChangesOptions()) -> Changes:
-    """Sums of the line touches of a range of commits."""
-    rows = touches.where(file_matches(F.col("file_path"), options.files, options.files_not))
-    parts = changes.contributions(changes.classified(rows, options.refactor_after_hours))
-    return Changes(changes.counted(parts, author_matches(F.col("author_name"), F.col("author_mail"), options.authors, options.authors_not)))
-
+def analyse(touches: DataFrame, options: ChangesOptions = ChangesOptions(), keys: tuple[str, ...] = ()) -> Changes:
+    """Sums of the line touches of a range of commits.
 
-def analyse_series(touches: DataFrame, period, options: ChangesOptions = ChangesOptions()) -> Changes:
-    """As analyse(), for every value of the column `period` of the touches, in one job."""
-    rows = touches.where(file_matches(F.col("file_path"), options.files, options.files_not)).withColumn("period", period)
-    of_commit = rows.select("commit_id", "file_path", "period").distinct()
-    parts = changes.contributions(changes.classified(rows, options.refactor_after_hours))
-    kept = changes.counted(parts, author_matches(F.col("author_name"), F.col("author_mail"), options.authors, options.authors_not))
-    return Changes(kept.join(of_commit, ["commit_id", "file_path"]), ("period",))
+    keys: columns of the touches that set ranges apart, such as the period of a commit; all ranges
+    are one job. A commit belongs to one range.
+    """
+    rows = touches.where(file_matches(F.col("file_path"), options.files, options.files_not))
+    parts = changes.contributions(changes.classified(rows, options.refactor_after_hours), keys)
+    counts = author_filter(F.col("author_name"), F.col("author_mail"), options.authors, options.authors_not)
+    parts = changes.counted(parts, counts)
+    # without a filter every touch counts, so what was touched needs no classification
+    touched = (rows if counts is None else parts.where("touch")).select(*keys, "commit_id", "file_path")
+    return Changes(parts, touched, keys)

@@ -25,6 +25,10 @@ class Ownership:
     def groups(self) -> DataFrame:
         return duplicates.duplicate_groups(self.found, self.k)
 
+    @property
+    def related(self) -> DataFrame:
+        return duplicates.related_runs(self.found, self.k)
+
 
 def analyse(blame: DataFrame, snapshot_ts: Column, options: OwnershipOptions = OwnershipOptions(), tree: DataFrame | None = None, keys: tuple[str, ...] = ()) -> Ownership:
     """Ownership of the lines of `blame` at `snapshot_ts`.
@@ -38,6 +42,6 @@ def analyse(blame: DataFrame, snapshot_ts: Column, options: OwnershipOptions = O
     counted = author_matches(F.col("author_name"), F.col("author_mail"), options.authors, options.authors_not)
     first_counted = author_matches(F.col("first.author_name"), F.col("first.author_mail"), options.authors, options.authors_not)
     owned = ownership.owned_lines(lines, snapshot_ts, counted)
-    found = duplicates.occurrences(lines, options.min_duplicate_lines, options.min_line_bytes, keys or ("commit_id",))
+    found = duplicates.occurrences(lines, options.min_duplicate_lines, options.min_line_bytes, keys or ("commit_id",), least=2)
     copied = ownership.copied_lines(found, options.min_duplicate_lines, counted, first_counted, keys)
     return Ownership(ownership.totals(owned, copied, keys), ownership.by_author(owned, copied, keys), found, options.min_duplicate_lines)

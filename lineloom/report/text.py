@@ -84,7 +84,7 @@ def write_ownership_csv(result: Ownership, path: str) -> None:
 
 def duplicates_text(result: Ownership, full: bool = True) -> str:
     t = result.totals.first()
-    lines = duplicates.iterate_groups(result.groups, None if full else 20)
+    lines = duplicates.iterate_groups(result.groups, result.related, None if full else 20)
     return f"Total lines: {t['lines']}\nDuplicated lines: {t['duplicated']}{share(t['duplicated'], t['lines'])}\n" + "".join(f"{x}\n" for x in lines)
 
 

@@ -36,14 +36,20 @@ def events_as_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_as_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line_touches: a part is a line, an order a commit, a supplier an author; the part's brand is the file."""
+    """line_touches: a part is a line, the items of an order that ship on a day are a commit, a supplier
+    an author; the part's brand and size are the file. So a commit has one date."""
     i = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_shipdate").cast("timestamp").alias("l_shipdate"))
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("actor_name"), F.concat(F.lit("<"), "s_suppkey", F.lit("@"), "s_nationkey", F.lit(">")).alias("actor_mail"))
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", "p_brand", "p_size").alias("file_path"))
-    rows = i.join(s, "l_suppkey").join(p, "l_partkey")
     w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
-    rows = rows.select("l_orderkey", "file_path", "actor_name", "actor_mail", "l_shipdate", F.lag("l_shipdate").over(w).alias("src_ts"), F.lag("actor_name").over(w).alias("src_author_name"), F.lag("actor_mail").over(w).alias("src_author_mail"))
+    # numbers alone are shuffled and sorted; names come after
+    rows = i.select("l_partkey", "l_orderkey", "l_suppkey", "l_shipdate", F.lag("l_shipdate").over(w).alias("src_ts"), F.lag("l_suppkey").over(w).alias("src_suppkey"))
+
+    def people(key: str, name: str, mail: str) -> DataFrame:
+        s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+        return s.select(F.col("s_suppkey").alias(key), F.col("s_name").alias(name), F.concat(F.lit("<"), "s_suppkey", F.lit("@"), "s_nationkey", F.lit(">")).alias(mail))
+
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", "p_brand", "p_size").alias("file_path"))
+    rows = rows.join(people("l_suppkey", "actor_name", "actor_mail"), "l_suppkey").join(p, "l_partkey").join(people("src_suppkey", "src_author_name", "src_author_mail"), "src_suppkey", "left")
     return rows.select(
-        F.col("l_orderkey").alias("commit_id"), "file_path", F.when(F.col("src_ts").isNull(), "New").otherwise("Change").alias("op"), F.lit(1).cast("bigint").alias("lines"),
+        (F.col("l_orderkey") * 100_000 + F.unix_date(F.col("l_shipdate").cast("date"))).alias("commit_id"), "file_path", F.when(F.col("src_ts").isNull(), "New").otherwise("Change").alias("op"), F.lit(1).cast("bigint").alias("lines"),
         "actor_name", "actor_mail", "src_author_name", "src_author_mail", F.col("actor_name").alias("commit_author_name"), F.col("l_shipdate").alias("commit_ts"), "src_ts",
     )

@@ -111,14 +111,22 @@ def greedy(rows):
     return sorted(result)
 
 
-def test_groups_match_the_definition(spark):
-    r = random.Random(4)
-    rows = sorted({(f"f{r.randint(0, 5)}", r.randint(1, 40), 2, f"t{r.randint(0, 9)}") for _ in range(70)})
+@pytest.mark.parametrize("seed", range(6))
+def test_groups_match_the_definition(spark, seed):
+    r = random.Random(seed)
+    rows = sorted({(f"f{r.randint(0, 5)}", r.randint(1, 40), 2, f"t{r.randint(0, 9 + 3 * seed)}") for _ in range(70)})
+    # whole files that are copies of one another
+    rows += [(f"copy{c}", a, 2, t) for c in range(seed) for f, a, _, t in rows if f == "f1"]
     n = pd.Series([x[3] for x in rows]).value_counts()
     rows = [x for x in rows if n[x[3]] > 1]
     found = spark.createDataFrame([(f, a, t, 2) for f, a, _, t in rows], "file_path string, line_number int, text_key string, n int").withColumn("text_key", F.col("text_key").cast("binary"))
-    got = sorted((g.file_path, g.line_number, g.line_count, g.related_count) for g in duplicates.duplicate_groups(found, 2).collect())
+    groups, related = duplicates.duplicate_groups(found, 2), duplicates.related_runs(found, 2)
+    got = sorted((g.file_path, g.line_number, g.line_count, g.related_count) for g in groups.collect())
     assert got == greedy(rows)
+    sums = {}
+    for x in related.collect():
+        sums[x.file_path, x.line_number] = sums.get((x.file_path, x.line_number), 0) + x.related_lines
+    assert sums == {(f, a): n for f, a, _, n in got if n}
 
 
 def touch(spark, rows):
@@ -136,7 +144,8 @@ def test_classification_and_its_invariants(spark):
     assert (by["ann"].new_lines, by["ann"].changes, by["ann"].refactor_received, by["ann"].churn_received) == (3, 2, 1, 2)
     assert all(a.changes == a.refactor_own + a.refactor_other + a.churn_own + a.churn_other for a in by.values())
     # without a counted toucher a commit's file is left out, received lines included
-    only = changes.totals(changes.counted(parts, F.col("author_name") == "ann")).first()
+    of_ann = changes.counted(parts, F.col("author_name") == "ann")
+    only = changes.totals(of_ann, of_ann.where("touch")).first()
     assert (only.commits, only.refactor_received, only.churn_received) == (2, 0, 0)
 
 
@@ -147,7 +156,7 @@ def test_rankings_and_flows(spark):
     assert [a.author_name for a in top] == ["a1", "a0", "a3"]
     files = changes.top_files(changes.by_author_file(parts)).where("author_name = 'a1'").orderBy("place").collect()
     assert [f.lines for f in files] == [29, 25, 21, 17, 13]
-    assert {(f.source, f.target): f.lines for f in changes.flows(changes.totals(parts)).collect()}["touched", "new"] == sum(range(1, 30))
+    assert {(f.source, f.target): f.lines for f in changes.flows(changes.totals(parts, parts)).collect()}["touched", "new"] == sum(range(1, 30))
 
 
 def test_ranges_samples_and_differences(spark):

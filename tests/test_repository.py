@@ -88,7 +88,7 @@ def test_copies(spark, copied):
     assert sum(a.lines for a in authors) == t.lines
     assert sum(a.duplicated for a in authors) == t.duplicated == sum(a.original + a.original_others for a in authors)
     (g,) = result.groups.collect()
-    assert (g.file_path, g.line_count, g.related_count) == ("file1", 2, 2) and [r.file_path for r in g.related] == ["file2"]
+    assert (g.file_path, g.line_count, g.related_count) == ("file1", 2, 2) and [r.related_path for r in result.related.collect()] == ["file2"]
     shown = text.duplicates_text(result)
     assert "file1:1 - 3\n  file2:1 - 3\n" in shown
 
