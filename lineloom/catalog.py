@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,6 @@ AUTHORS, AUTHORS_NOT = "src[0-9]$|@en", "src3|@fr"
 TOUCH_FILES, TOUCH_AUTHORS, TOUCH_AUTHORS_NOT = "Brand#1", "Supplier#0000000[0-4]", "@3>$"
 SINCE, UNTIL = datetime(2024, 1, 10), datetime(2024, 1, 20, 12)
 TICKS = [datetime(2024, 1, d) for d in (31, 28, 25, 22, 19, 16, 13, 10, 7, 4)]
-SAMPLES = [datetime(2024, 1, 8), datetime(2024, 1, 22), datetime(2024, 2, 5)]
 PERIOD_END, PERIOD_DAYS = datetime(2001, 12, 31), 180
 
 
@@ -127,14 +126,56 @@ def line_age(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_partkey, UNNEST(range(l_linenumber, l_linenumber + (l_partkey % 3)::INT + 1))::INT AS line_number FROM lineitem")
 def hunk_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return i.select("l_orderkey", "l_linenumber", "l_partkey", F.explode(F.sequence("l_linenumber", (F.col("l_linenumber") + F.col("l_partkey") % 3).cast("int"))).alias("line_number"))
+    return i.select("l_orderkey", "l_linenumber", "l_partkey", changes.each_line("l_linenumber", (F.col("l_linenumber") + F.col("l_partkey") % 3).cast("int")).alias("line_number"))
 
 
-@query()
+# an order is a commit with one hunk; numbers follow from its key k
+HUNK_SQL = """
+h0 AS (SELECT o_orderkey AS k, 'f' || (o_custkey % 50) AS file_path, o_orderdate AS ts, ['New', 'Add', 'Change', 'Delete'][(o_orderkey % 4 + 1)::INT] AS op FROM orders),
+h1 AS (SELECT *, CASE op WHEN 'New' THEN 1 ELSE k % 5 + 1 END AS sf, CASE op WHEN 'New' THEN 1 ELSE k % 7 + 1 END AS df,
+  CASE WHEN op IN ('Change', 'Delete') THEN k % 3 + 1 ELSE 0 END AS ns, CASE op WHEN 'Delete' THEN 0 ELSE (k // 4) % 4 + 1 END AS nd FROM h0)"""
+
+TOUCHED_SQL = (
+    HUNK_SQL
+    + """,
+w AS (
+  SELECT k, file_path, ts, op, 1 AS lines, 'c' || ((k * 7 + l) % 40) AS actor, NULL AS src, NULL::TIMESTAMP AS src_ts FROM (SELECT *, UNNEST(range(1, nd + 1)) AS l FROM h1 WHERE op = 'New')
+  UNION ALL SELECT k, file_path, ts, op, nd, 'c' || ((k * 7 + df) % 40), NULL, NULL FROM h1 WHERE op = 'Add'
+  UNION ALL SELECT k, file_path, ts, op, 1, 'c' || ((k * 7 + l) % 40), NULL, NULL FROM (SELECT *, UNNEST(range(df + ns, df + nd)) AS l FROM h1 WHERE op = 'Change')
+  UNION ALL SELECT k, file_path, ts, op, 1, CASE op WHEN 'Delete' THEN 'c' || (k % 40) ELSE 'c' || ((k * 7 + df) % 40) END, 'c' || (((k - 1) * 5 + l) % 40), ts - to_days(((k * 13 + l * 7) % 60)::INT) FROM (SELECT *, UNNEST(range(sf, sf + ns)) AS l FROM h1 WHERE op IN ('Change', 'Delete'))),
+k AS (SELECT k AS commit_id, file_path, op, lines, actor AS actor_name, '<' || actor || '@x>' AS actor_mail, src AS src_name, '<' || src || '@x>' AS src_mail, date_diff('microsecond', src_ts, ts) / 86400e6 AS age_days,
+  CASE WHEN src IS NULL THEN 'new' WHEN date_diff('microsecond', src_ts, ts) > 504 * 3600000000 THEN CASE WHEN src = 'c' || (k % 40) THEN 'refactor_own' ELSE 'refactor_other' END WHEN src = 'c' || (k % 40) THEN 'churn_own' ELSE 'churn_other' END AS kind FROM w),
+c0 AS (
+  SELECT commit_id, file_path, actor_name AS author_name, actor_mail AS author_mail, lines * (kind = 'new')::INT AS new_lines, lines * (kind <> 'new')::INT AS changes, (kind = 'refactor_own')::INT AS refactor_own, (kind = 'refactor_other')::INT AS refactor_other,
+    0 AS refactor_received, (kind = 'churn_own')::INT AS churn_own, (kind = 'churn_other')::INT AS churn_other, 0 AS churn_received, coalesce(age_days, 0) AS age_days_sum FROM k
+  UNION ALL SELECT commit_id, file_path, src_name, src_mail, 0, 0, 0, 0, (kind = 'refactor_other')::INT, 0, 0, (kind = 'churn_other')::INT, 0 FROM k WHERE kind IN ('refactor_other', 'churn_other'))"""
+)
+
+
+@query(f"WITH {TOUCHED_SQL} SELECT commit_id, file_path, op, lines, actor_name, actor_mail, src_name AS src_author_name, kind, age_days FROM k")
+def hunk_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touches = changes.classified(changes.touches_of_hunks(*adapters.orders_as_hunks(spark, sf_dir)))
+    return touches.select("commit_id", "file_path", "op", "lines", "actor_name", "actor_mail", "src_author_name", "kind", "age_days")
+
+
+@query(f"WITH {TOUCHED_SQL} SELECT author_name, author_mail, {SUMS_SQL} FROM c0 GROUP BY ALL")
+def hunk_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touches = changes.touches_of_hunks(*adapters.orders_as_hunks(spark, sf_dir))
+    return rounded(changes_plan.analyse(touches, ChangesOptions()).authors, "age_days_sum")
+
+
+@query(f"WITH {HUNK_SQL} SELECT k AS pair_id, op, sf::INT AS src_from, (sf + ns - 1)::INT AS src_to, df::INT AS dst_from, (df + nd - 1)::INT AS dst_to FROM h1 WHERE op <> 'New'")
 def diff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("dst"))
-    return diff.diff_pairs(d.join(after, "doc_id").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("src"), "dst"))
+    return diff.parsed(adapters.orders_as_diffs(spark, sf_dir))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, UNNEST(range(1, o_orderkey % 7 + 7)) AS i FROM orders),
+t AS (SELECT k, 2 * i AS pos, CASE WHEN (i * 7 + k) % 5 = 0 THEN 'del' ELSE 'keep' END AS what FROM o UNION ALL SELECT k, 2 * i + 1, 'add' FROM o WHERE (i * 3 + k) % 4 = 0),
+g AS (SELECT *, count(*) FILTER (what = 'keep') OVER w AS part, count(*) FILTER (what <> 'add') OVER w AS in_src, count(*) FILTER (what <> 'del') OVER w AS in_dst FROM t WINDOW w AS (PARTITION BY k ORDER BY pos)),
+r AS (SELECT k, part, count(*) FILTER (what = 'del') AS dels, count(*) FILTER (what = 'add') AS adds, max(in_src) AS src_to, max(in_dst) AS dst_to FROM g WHERE what <> 'keep' GROUP BY ALL)
+SELECT k AS pair_id, CASE WHEN dels = 0 THEN 'Add' WHEN adds = 0 THEN 'Delete' ELSE 'Change' END AS op, (src_to - dels + 1)::INT AS src_from, src_to::INT AS src_to, (dst_to - adds + 1)::INT AS dst_from, dst_to::INT AS dst_to FROM r""")
+def diff_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.diff_pairs(adapters.orders_as_texts(spark, sf_dir))
 
 
 @query(f"SELECT event_id, ts FROM events WHERE ts > {ts(UNTIL)} - INTERVAL 5184 SECOND")
@@ -165,6 +206,11 @@ def ownership_by_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_ownership(spark, sf_dir).authors, "age_days_sum")
 
 
+@query(f"WITH {BLAME_SQL}, l AS (SELECT author_name, count(*) AS lines, sum(date_diff('microsecond', author_ts, TIMESTAMP '2025-01-01') / 86400e6) AS age FROM b WHERE trim(contents) <> '' GROUP BY 1) SELECT author_name, lines, row_number() OVER (ORDER BY lines DESC, author_name)::INT AS place, round(age / lines, 3) AS age_days FROM l")
+def ranked_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ownership.ranked(_ownership(spark, sf_dir).authors.where("lines > 0")), "age_days").select("author_name", "lines", "place", "age_days")
+
+
 @query(f"""WITH {WINDOWS_SQL} SELECT count(DISTINCT file_path) AS files, count(*) AS lines, count(DISTINCT author_name) AS authors,
 round(sum(date_diff('microsecond', author_ts, TIMESTAMP '2025-01-01') / 86400e6), 3) AS age_days_sum, (SELECT 4 * count(*) FROM o WHERE rn > 1) AS duplicated FROM b WHERE trim(contents) <> ''""")
 def ownership_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,12 +390,40 @@ def sankey_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.flows(_changes(spark, sf_dir).totals)
 
 
-@query()
-def cluster_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+# all pairs of bounds over the distinct totals, and the pair with the least squares
+CLUSTERS_SQL = (
+    AUTHORS_SQL
+    + """, sums AS (SELECT author_name, sum(new_lines + changes)::BIGINT AS total FROM a GROUP BY 1),
+v AS (SELECT total::DOUBLE AS total, count(*)::DOUBLE AS n FROM sums GROUP BY 1),
+p AS (SELECT total, row_number() OVER x AS r, sum(n) OVER x AS w, sum(n * total) OVER x AS s, sum(n * total * total) OVER x AS q FROM v WINDOW x AS (ORDER BY total)),
+z AS (SELECT max(r) AS r, max(w) AS w, max(s) AS s, max(q) AS q FROM p),
+c AS (SELECT a.total AS t1, b.total AS t2, a.s / a.w AS c1, (b.s - a.s) / (b.w - a.w) AS c2, (z.s - b.s) / (z.w - b.w) AS c3,
+  z.q - a.s * a.s / a.w - (b.s - a.s) ** 2 / (b.w - a.w) - (z.s - b.s) ** 2 / (z.w - b.w) AS off FROM p a JOIN p b ON a.r < b.r JOIN z ON b.r < z.r ORDER BY off, a.r, b.r LIMIT 1),
+kk AS (SELECT author_name, t.total, floor(CASE WHEN t1 IS NULL THEN t.total WHEN t.total <= t1 THEN c1 WHEN t.total <= t2 THEN c2 ELSE c3 END)::BIGINT AS cluster_value FROM sums t LEFT JOIN c ON true)"""
+)
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = _changes(spark, sf_dir).authors.groupBy("author_name").agg(F.sum(F.col("new_lines") + F.col("changes")).alias("total"))
     return clusters.cluster_authors(totals, 3, "touched")
 
 
+@query(f"WITH {CLUSTERS_SQL} SELECT author_name, total, cluster_value, 'Authors that touched ~' || cluster_value || ' lines' AS cluster_name FROM kk")
+def cluster_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir)
+
+
+@query(f"""WITH {CLUSTERS_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY cluster_value ORDER BY total DESC, author_name) AS place, count(*) OVER (PARTITION BY cluster_value) AS n FROM kk)
+SELECT 'Authors that touched ~' || cluster_value || ' lines' AS cluster_name, cluster_value, string_agg(author_name, ', ' ORDER BY place) FILTER (place <= 4) || CASE WHEN any_value(n) > 4 THEN '... (+' || (any_value(n) - 4) || ')' ELSE '' END AS text FROM m GROUP BY cluster_value""")
+def cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_lines(_clusters(spark, sf_dir))
+
+
+@query(f"WITH {AUTHORS_SQL} SELECT author_name, author_mail, new_lines + changes AS touched, row_number() OVER (ORDER BY new_lines + changes DESC, author_name, author_mail)::INT AS place FROM a WHERE new_lines + changes > 0")
+def active_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.active(_changes(spark, sf_dir).authors).select("author_name", "author_mail", "touched", "place")
+
+
 # ---- commits
 
 
@@ -371,12 +445,18 @@ def commit_symdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commits.symmetric_difference(c.where(F.col("commit_ts") <= F.lit(UNTIL)).select("commit_id"), c.where(F.col("commit_ts") >= F.lit(SINCE)).select("commit_id"))
 
 
-@query("""WITH RECURSIVE r(commit_id) AS (SELECT event_id FROM events WHERE event_id IN (777, 901)
+@query("""WITH RECURSIVE r(commit_id) AS (SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id // 2 FROM events WHERE event_id > 0)
 UNION SELECT e.event_id FROM r JOIN events e ON e.event_id = r.commit_id // 2 WHERE r.commit_id > 0) SELECT commit_id FROM r""")
 def commit_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     parents = e.select(F.col("event_id").alias("commit_id"), F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 2)).alias("parent_id"))
-    return commits.ancestors(parents, ["777", "901"]).select(F.col("commit_id").cast("bigint").alias("commit_id"))
+    return commits.ancestors(parents, commits.tips(parents))
+
+
+@query("SELECT event_id AS commit_id, 'user' || user_id AS author_name, ts AS commit_ts FROM events WHERE event_id IN (SELECT o_custkey FROM orders)")
+def commit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("commit_id"))
+    return commits.by_id(adapters.events_as_commits(spark, sf_dir), ids).select("commit_id", "author_name", "commit_ts")
 
 
 # ---- series
@@ -390,11 +470,17 @@ def sampled_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> ownership_plan.Ownership:
-    lines = adapters.documents_as_blame(spark, sf_dir).withColumn("snapshot", F.explode(F.array(*[F.lit(s) for s in SAMPLES]))).where("author_ts <= snapshot")
+    """Three snapshots: after all lines, and a third and two thirds of their time before."""
+    lines = adapters.documents_as_blame(spark, sf_dir)
+    ends = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max("doc_id").alias("last")).first()["last"] or 0
+    start, step = datetime(2024, 1, 1), timedelta(hours=ends // 3)
+    samples = [start + timedelta(hours=ends) - i * step for i in (2, 1, 0)]
+    lines = lines.withColumn("snapshot", F.explode(F.array(*[F.lit(s) for s in samples]))).where("author_ts <= snapshot")
     return ownership_plan.analyse(lines, F.col("snapshot"), OwnershipOptions(), keys=("snapshot",))
 
 
-SNAPSHOTS_SQL = WINDOWS_SQL.replace("b AS (SELECT file_path,", f"g AS (SELECT UNNEST([{ts(*SAMPLES)}]) AS snapshot), b AS (SELECT snapshot, file_path,").replace("FROM d)", "FROM d JOIN g ON author_ts <= snapshot)").replace("PARTITION BY", "PARTITION BY snapshot,")
+SAMPLES_SQL = "g AS (SELECT TIMESTAMP '2024-01-01' + to_hours(last - i * (last // 3)) AS snapshot FROM (SELECT max(doc_id) AS last FROM documents) JOIN (SELECT UNNEST([2, 1, 0]) AS i) ON true), "
+SNAPSHOTS_SQL = WINDOWS_SQL.replace("b AS (SELECT file_path,", f"{SAMPLES_SQL}b AS (SELECT snapshot, file_path,").replace("FROM d)", "FROM d JOIN g ON author_ts <= snapshot)").replace("PARTITION BY", "PARTITION BY snapshot,")
 SERIES_SQL = (
     SNAPSHOTS_SQL
     + """,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.functions.numbers import coder_score
@@ -69,6 +69,13 @@ def by_author(parts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return parts.groupBy(*keys, "author_name", "author_mail").agg(*sums())
 
 
+def active(authors: DataFrame) -> DataFrame:
+    """Authors who touched lines, with `touched` and `place` by it, then by name and mail; others only received."""
+    touched = F.col("new_lines") + F.col("changes")
+    order = Window.orderBy(F.col("touched").desc(), "author_name", "author_mail")
+    return authors.withColumn("touched", touched).where("touched > 0").withColumn("place", F.row_number().over(order))
+
+
 def by_author_file(parts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """author_name, author_mail, file_path, lines: lines given to a file; received ones don't count."""
     given = F.col("new_lines") + F.col("churn_own") + F.col("churn_other") + F.col("refactor_own") + F.col("refactor_other")
@@ -109,8 +116,6 @@ def top_authors(authors: DataFrame, ranking: str, k: int = 3) -> DataFrame:
 
 def top_files(files: DataFrame, k: int = 5) -> DataFrame:
     """The k files that each author gave most lines, with `place`."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("author_name", "author_mail").orderBy(F.col("lines").desc(), "file_path")
     return files.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

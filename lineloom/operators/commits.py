@@ -44,16 +44,26 @@ def symmetric_difference(one: DataFrame, other: DataFrame) -> DataFrame:
     return one.exceptAll(one.intersect(other)).unionByName(other.exceptAll(other.intersect(one))).distinct()
 
 
-def ancestors(parents: DataFrame, tips: list[str]) -> DataFrame:
-    """commit_id, as text, of the tips and all their ancestors. parents: commit_id, parent_id.
+def by_id(commits: DataFrame, ids: DataFrame) -> DataFrame:
+    """The commits whose id is among the rows of ids (commit_id)."""
+    return commits.join(ids, "commit_id", "left_semi")
+
+
+def tips(parents: DataFrame) -> DataFrame:
+    """commit_id of the commits that are no other's parent. parents: commit_id, parent_id."""
+    taken = parents.where("parent_id is not null").select(F.col("parent_id").alias("commit_id"))
+    return parents.select("commit_id").distinct().join(taken, "commit_id", "left_anti")
+
+
+def ancestors(parents: DataFrame, tips: DataFrame) -> DataFrame:
+    """commit_id of the tips (commit_id) that are known and of all their ancestors. parents: commit_id, parent_id.
 
     Rounds of one join each, as many as the longest path from a tip; every round joins only the
     commits that are new.
     """
-    spark = parents.sparkSession
-    links = parents.where("parent_id is not null").select(F.col("commit_id").cast("string").alias("child"), F.col("parent_id").cast("string").alias("commit_id"))
-    reached = new = spark.createDataFrame([(t,) for t in tips], "commit_id string").join(parents.select(F.col("commit_id").cast("string")), "commit_id", "left_semi").distinct()
-    with_checkpoints(spark)
+    links = parents.where("parent_id is not null").select(F.col("commit_id").alias("child"), F.col("parent_id").alias("commit_id")).distinct()
+    with_checkpoints(parents.sparkSession)
+    reached = new = parents.select("commit_id").distinct().join(tips, "commit_id", "left_semi").checkpoint()
     while True:
         found = links.join(new.select(F.col("commit_id").alias("child")), "child", "left_semi").select("commit_id").distinct()
         new = found.join(reached, "commit_id", "left_anti").checkpoint()

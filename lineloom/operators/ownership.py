@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.functions.numbers import age_days
@@ -43,6 +43,12 @@ def by_author(owned: DataFrame, copied: DataFrame, keys: tuple[str, ...] = ()) -
     return both.select(*keys, "author_name", "author_mail", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in fill.items()])
 
 
+def ranked(authors: DataFrame) -> DataFrame:
+    """authors with `place` by owned lines, then name, and `age_days`, the average age of their lines (null without lines)."""
+    place = F.row_number().over(Window.orderBy(F.col("lines").desc(), "author_name"))
+    return authors.withColumns({"place": place, "age_days": F.try_divide("age_days_sum", "lines")})
+
+
 def totals(owned: DataFrame, copied: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """files, lines, authors, age_days_sum, duplicated of the snapshot (of each, with keys)."""
     per_file = owned.groupBy(*keys, "file_path").agg(F.count("*").alias("n"), F.sum("age_days").alias("age"))

@@ -1,7 +1,10 @@
+import itertools
 import random
+import subprocess
 import time
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -170,7 +173,9 @@ def test_ranges_samples_and_differences(spark):
     got = series.samples(c, [t0 + timedelta(hours=h) for h in (300, 250, 30, 31, -5)]).orderBy("tick").collect()
     assert [(r.commit_id, r.tick) for r in got] == [("c1", t0 + timedelta(hours=31)), ("c9", t0 + timedelta(hours=300))]
     parents = c.select("commit_id", F.get("parent_ids", F.lit(0)).alias("parent_id"))
-    assert ids(commits.ancestors(parents, ["c3", "nope"])) == ["c0", "c1", "c2", "c3"]
+    some = spark.createDataFrame([("c3",), ("nope",)], "commit_id string")
+    assert ids(commits.ancestors(parents, some)) == ["c0", "c1", "c2", "c3"]
+    assert ids(commits.tips(parents)) == ["c9"] and ids(commits.by_id(c, some)) == ["c3"]
 
 
 def test_series(spark):
@@ -191,6 +196,68 @@ def test_clusters(spark):
     assert clusters.cluster_authors(df.limit(0)).count() == 0
 
 
+def test_clusters_are_the_best_there_are():
+    r = random.Random(3)
+    for n, k in ((1, 3), (2, 3), (3, 3), (7, 1), (7, 2), (9, 3), (12, 4)):
+        x = np.array(sorted(r.sample(range(1, 200), n)), float)
+        w = np.array([r.randint(1, 4) for _ in x], float)
+
+        def off(cuts):
+            parts = [(x[a:b], w[a:b]) for a, b in zip((0, *cuts), (*cuts, n), strict=True)]  # noqa: B023
+            return sum((wt * (v - np.average(v, weights=wt)) ** 2).sum() for v, wt in parts)
+
+        got = clusters.best_clusters(x, w, k)
+        cuts = [int(np.searchsorted(x, last, "right")) for last, _ in got[:-1]]
+        assert len(got) == min(n, k) and abs(off(cuts) - min(off(c) for c in itertools.combinations(range(1, n), min(n, k) - 1))) < 1e-6
+    assert clusters.best_clusters(np.zeros(0), np.zeros(0), 3) == []
+
+
+def shortest(a, b):
+    """Lines that a shortest edit of a to b keeps."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+def test_diffs_are_shortest_and_lead_from_one_text_to_the_other():
+    r = random.Random(1)
+    for _ in range(400):
+        a = [r.choice("abcdefgh"[: r.randint(2, 8)]) for _ in range(r.randint(0, 14))]
+        b = list(a)
+        for _ in range(r.randint(0, 5)):
+            i = r.randint(0, len(b))
+            b[i : i + r.randint(0, 1)] = r.choice([[], ["x"], ["a", "b"]])
+        a, b = diff.lines_of("".join(x + "\n" for x in a)), diff.lines_of("\n".join(b))
+        hunks, out, at = diff.diff_lines(a, b), [], 0
+        for h in hunks:
+            out += a[at : h.src_from - 1] + b[h.dst_from - 1 : h.dst_to]
+            at = h.src_to
+        assert out + a[at:] == b
+        assert sum(len(h.src) + len(h.dst) for h in hunks) == len(a) + len(b) - 2 * shortest(a, b)
+
+
+def test_diffs_of_programs_equal_the_tool(tmp_path):
+    src = [f"line {i}\n" for i in range(60)] + ["same\n"] * 3
+    # of several shortest edits the tool may give another one; of these texts it gives the same
+    edits = [src[:10] + ["new\n"] + src[10:], src[:5] + src[9:], src[:20] + ["x\n", "y\n"] + src[21:40] + src[45:] + ["end"], ["same\n", *src], src + ["same\n"], [], src[:60:2] + src[60:], src[:30] + src[10:]]
+    for dst in edits:
+        (tmp_path / "a").write_text("".join(src))
+        (tmp_path / "b").write_text("".join(dst))
+        want = subprocess.run(["diff", "-a", str(tmp_path / "a"), str(tmp_path / "b")], capture_output=True, text=True, check=False).stdout
+        assert diff.diff_texts("".join(src), "".join(dst)) == diff.parse_normal(want)
+
+
+def test_parsed_diffs_equal_the_parser(spark):
+    texts = ["1,3c1\n< a\n< 2c3\n< c\n---\n> x\n5a4,5\n> p\n> q\n\\ No newline at end of file\n9d7\n< z\n", "", None, "0a1\n> 1a2"]
+    got = diff.parsed(spark.createDataFrame(list(enumerate(texts)), "pair_id int, diff string")).collect()
+    want = [(i, h.op, h.src_from, h.src_to, h.dst_from, h.dst_to) for i, t in enumerate(texts) for h in diff.parse_normal(t or "")]
+    assert sorted(map(tuple, got)) == sorted(want)
+    pairs = spark.createDataFrame([(1, None, "a\n"), (2, "a\n", None), (3, None, None)], "pair_id int, src string, dst string")
+    assert sorted((r.pair_id, r.op) for r in diff.diff_pairs(pairs).collect()) == [(1, "Add"), (2, "Delete")]
+
+
 def test_diffs():
     (first, *_) = diff.parse_normal("1,3c1\n< a\n< b\n< c\n---\n> x\n5a4,5\n> p\n> q\n\\ No newline at end of file\n9d7\n< z\n")
     assert (first.op, first.src_from, first.src_to, first.dst_from, first.dst_to, first.src, first.dst) == ("Change", 1, 3, 1, 1, ("a", "b", "c"), ("x",))
