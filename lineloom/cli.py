@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import cProfile
 import sys
-from datetime import datetime
+from contextlib import nullcontext
+from datetime import UTC, datetime
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from lineloom.options import ChangesOptions, OptionError, OwnershipOptions
 from lineloom.plans import changes as changes_plan
 from lineloom.plans import ownership as ownership_plan
 from lineloom.report import text
-from lineloom.session import session
+from lineloom.session import session, with_checkpoints
 from lineloom.sources import gitrepo
 from lineloom.sources.cache import ResultCache, cache_key
 
@@ -26,41 +28,62 @@ COMMANDS = ("ownership", "ownership-timeseries", "duplicates", "changes", "chang
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lineloom")
     p.add_argument("command", choices=COMMANDS)
-    for name, default in (("repo", "."), ("branch", "main"), ("files", ".*"), ("files-not", ""), ("authors", ".*"), ("authors-not", ""), ("cache-file", ""), ("when", "now"), ("until", "now"), ("since-commit", ""), ("until-commit", "")):
+    for name, default in (("repo", "."), ("branch", "main"), ("files", ".*"), ("files-not", ""), ("authors", ".*"), ("authors-not", ""), ("cache-file", ""), ("when", "now"), ("until", "now"), ("commit-id", ""), ("since-commit", ""), ("until-commit", ""), ("profile-file", "")):
         p.add_argument(f"--{name}", default=default)
     p.add_argument("--since", default=None)
     p.add_argument("--period", default=None)
+    p.add_argument("--verbose", action="store_true", help="show the progress of Spark's stages")
     p.add_argument("--cache-ttl", type=int, default=5_184_000)
     p.add_argument("--min-dup-lines", type=int, default=4)
     p.add_argument("--format", choices=("full", "short", "csv"), default="full")
     return p
 
 
+def log_of(spark, repo: str, branch: str) -> list:
+    """(commit id, commit time in UTC, author time) of a branch, newest first."""
+    rows = gitrepo.commits(spark, repo, branch).select("commit_id", "commit_ts", "author_ts").collect()
+    return [(r["commit_id"], r["commit_ts"].astimezone(UTC), r["author_ts"]) for r in rows]
+
+
+def snapshots(spark, repo: str, commits: list[tuple[str, datetime]], options: OwnershipOptions):
+    """Ownership of some commits (id, author time) in one job, by commit_id."""
+    ids = [c for c, _ in commits]
+    tree = gitrepo.tree_files(spark, repo, ids).where(file_matches(F.col("file_path"), options.files, options.files_not))
+    with_checkpoints(spark)
+    blame = gitrepo.blame(tree.where((F.col("size") <= options.max_file_bytes) & ~F.col("is_binary")), repo).checkpoint()
+    # one row for each snapshot
+    times = spark.createDataFrame(commits, "commit_id string, snapshot_ts timestamp")
+    return ownership_plan.analyse(blame.join(F.broadcast(times), "commit_id"), F.col("snapshot_ts"), options, keys=("commit_id",))
+
+
 def snapshot(spark, repo: str, branch: str, when: str, options: OwnershipOptions):
-    """(commit row, Ownership) of the last commit at `when`; None if there is none."""
-    last = commit_ops.latest(gitrepo.commits(spark, repo, branch), reldate.resolve(when)).collect()
-    if not last:
-        return None
-    c = last[0]
-    tree = gitrepo.tree_files(spark, repo, [c["commit_id"]]).where(file_matches(F.col("file_path"), options.files, options.files_not))
-    tree = tree.where((F.col("size") <= options.max_file_bytes) & ~F.col("is_binary")).cache()
-    return c, ownership_plan.analyse(gitrepo.blame(tree, repo).cache(), F.lit(c["author_ts"]), options)
+    """Ownership at a commit, or at the last one at `when`; None if there is none."""
+    if options.commit_id:
+        commit = gitrepo.git(repo, "rev-parse", "--verify", f"{options.commit_id}^{{commit}}").decode().strip()
+        at = datetime.fromisoformat(gitrepo.git(repo, "show", "-s", "--format=%aI", commit).decode().strip())
+    else:
+        moment = reldate.resolve(when)
+        found = next((x for x in log_of(spark, repo, branch) if x[1] <= moment), None)
+        if found is None:
+            return None
+        commit, _, at = found
+    tree = gitrepo.tree_files(spark, repo, [commit]).where(file_matches(F.col("file_path"), options.files, options.files_not))
+    with_checkpoints(spark)
+    blame = gitrepo.blame(tree.where((F.col("size") <= options.max_file_bytes) & ~F.col("is_binary")), repo).checkpoint()
+    return ownership_plan.analyse(blame, F.lit(at), options)
+
 
+def touches_of(spark, a, ids: list[str], options: ChangesOptions):
+    return gitrepo.line_touches(spark, a.repo, a.branch, ids, options.max_file_bytes, file_matches(F.col("file_path"), options.files, options.files_not)).persist()
 
-def change_range(spark, a, since: datetime | None, until: datetime | None, options: ChangesOptions, only: set[str] | None = None):
-    """(commit ids newest first, Changes) of a range of dates or commits."""
-    log = gitrepo.commits(spark, a.repo, a.branch)
+
+def change_range(spark, a, since: datetime | None, until: datetime | None, options: ChangesOptions):
+    """Changes of a range of dates or of commits; None if it is empty."""
     if a.since_commit or a.until_commit:
-        order = [r["commit_id"] for r in log.select("commit_id").collect()]
-        first, last = a.until_commit or order[0], a.since_commit or order[-1]
-        ids = order[order.index(first) : order.index(last) + 1]
+        ids = gitrepo.commit_range(a.repo, a.branch, a.since_commit, a.until_commit)
     else:
-        ids = [r["commit_id"] for r in commit_ops.in_range(log, since, until).orderBy(F.col("commit_ts").desc()).collect()]
-    ids = [i for i in ids if only is None or i in only]
-    if not ids:
-        return [], None
-    touches = gitrepo.line_touches(spark, a.repo, a.branch, ids, options.max_file_bytes, file_matches(F.col("file_path"), options.files, options.files_not))
-    return ids, changes_plan.analyse(touches.cache(), options)
+        ids = [r["commit_id"] for r in commit_ops.in_range(gitrepo.commits(spark, a.repo, a.branch), since, until).collect()]
+    return changes_plan.analyse(touches_of(spark, a, ids, options), options) if ids else None
 
 
 def run(args: list[str], out=sys.stdout) -> int:
@@ -68,7 +91,7 @@ def run(args: list[str], out=sys.stdout) -> int:
     try:
         a = parser().parse_args(args)
         base = {"repo": a.repo, "branch": a.branch, "files": a.files, "files_not": a.files_not, "authors": a.authors, "authors_not": a.authors_not}
-        own = OwnershipOptions(**base, when=a.when, min_duplicate_lines=a.min_dup_lines)
+        own = OwnershipOptions(**base, when=a.when, commit_id=a.commit_id, min_duplicate_lines=a.min_dup_lines)
         by_commit = bool(a.since_commit or a.until_commit)
         since = a.since or {"ownership-timeseries": "3 months ago", "changes-timeseries": "90 days ago"}.get(a.command, "30 days ago")
         period = a.period or {"changes-timeseries": "30 days"}.get(a.command, "2 weeks")
@@ -85,8 +108,11 @@ def run(args: list[str], out=sys.stdout) -> int:
         if cache and (known := cache.get(key)) is not None:
             out.write(known)
             return 0
-        spark = session()
-        report = _report(spark, a, own, ranged, since, period)
+        spark = session(**({"spark_ui_showConsoleProgress": "true"} if a.verbose else {}))
+        with cProfile.Profile() if a.profile_file else nullcontext() as profile:
+            report = _report(spark, a, own, ranged, since, period)
+        if profile:
+            profile.dump_stats(a.profile_file)
     except (ValueError, RuntimeError) as e:
         print(e, file=sys.stderr)
         return 2
@@ -107,20 +133,21 @@ def _report(spark, a, own: OwnershipOptions, ranged: ChangesOptions, since: str,
         if found is None:
             return None
         if a.command == "duplicates":
-            return text.duplicates_text(found[1], full)
-        return text.ownership_csv(found[1]) if a.format == "csv" else text.ownership_text(found[1], full)
+            return text.duplicates_text(found, full)
+        return text.ownership_csv(found) if a.format == "csv" else text.ownership_text(found, full)
     if a.command == "ownership-timeseries":
-        rows, people, seen = [], [], set()
-        # one snapshot per sampled commit; a run per sample, since each has its own blame
-        for tick in reldate.ticks(since, a.until, period):
-            found = snapshot(spark, a.repo, a.branch, tick.isoformat(), own)
-            if found is None:
-                break
-            if found[0]["commit_id"] not in seen:
-                seen.add(found[0]["commit_id"])
-                date = found[0]["author_ts"].date().isoformat()
-                rows.append({"date": date, **(found[1].totals.first() or EMPTY).asDict()})
-                people += [{"date": date, **r.asDict()} for r in found[1].authors.collect()]
+        log = log_of(spark, a.repo, a.branch)
+        authored = {c: at for c, _, at in log}
+        ids = commit_ops.sample_ids([x[:2] for x in log], reldate.ticks(since, a.until, period))
+        if not ids:
+            return None
+        found = snapshots(spark, a.repo, [(c, authored[c]) for c in ids], own)
+        totals, by_commit = {r["commit_id"]: r.asDict() for r in found.totals.collect()}, {}
+        for r in found.authors.collect():
+            by_commit.setdefault(r["commit_id"], []).append(r.asDict())
+        dates = {c: authored[c].date().isoformat() for c in ids}
+        rows = [{"date": dates[c], **totals.get(c, EMPTY.asDict())} for c in ids]
+        people = [{"date": dates[c], **r} for c in ids for r in by_commit.get(c, [])]
         if not rows:
             return None
         shown = {"lines": "Lines", "duplicated": "Duplicates", "files": "Files"}
@@ -129,20 +156,23 @@ def _report(spark, a, own: OwnershipOptions, ranged: ChangesOptions, since: str,
         return out + (text.author_series_text(people, "date", by_author, "Inc/period") if full else "")
     if a.command == "changes":
         by_commit = bool(a.since_commit or a.until_commit)
-        _, found = change_range(spark, a, None if by_commit else reldate.resolve(since), None if by_commit else reldate.resolve(a.until), ranged)
+        found = change_range(spark, a, None if by_commit else reldate.resolve(since), None if by_commit else reldate.resolve(a.until), ranged)
         if found is None:
             return None
         return text.changes_text(found) if full else text.changes_short_text(found)
-    rows, people, left = [], [], {r["commit_id"] for r in gitrepo.commits(spark, a.repo, a.branch).select("commit_id").collect()}
-    moments = reldate.ticks(since, a.until, period)
-    for hi, lo in zip(moments, [*moments[1:], reldate.resolve(since)], strict=True):
-        # each commit belongs to one period, the latest that it falls into
-        ids, found = change_range(spark, a, lo, hi, ranged, left)
-        left -= set(ids)
-        if found is not None:
-            name = f"{lo.date()} - {hi.date()}"
-            rows.append({"period": name, **{k: v or 0 for k, v in found.totals.first().asDict().items()}})
-            people += [{"period": name, **r.asDict()} for r in found.authors.collect()]
+    log = [x[:2] for x in log_of(spark, a.repo, a.branch)]
+    times = dict(log)
+    ranges = commit_ops.period_ranges(log, reldate.resolve(since), reldate.resolve(a.until), lambda at: reldate.less(at, period), lambda lo, hi: gitrepo.commit_range(a.repo, a.branch, lo, hi))
+    if not ranges:
+        return None
+    names = [f"{min(times[c] for c in ids).date()} - {max(times[c] for c in ids).date()}" for ids in ranges if ids]
+    ranges = [ids for ids in ranges if ids]
+    # a row for each commit of the periods
+    of_commit = spark.createDataFrame([(c, i) for i, ids in enumerate(ranges) for c in ids], "commit_id string, period int")
+    touches = touches_of(spark, a, [c for ids in ranges for c in ids], ranged).join(of_commit, "commit_id")
+    found = changes_plan.analyse(touches, ranged, keys=("period",))
+    rows = [{**r.asDict(), "period": names[r["period"]]} for r in found.totals.orderBy("period").collect()]
+    people = [{**r.asDict(), "period": names[r["period"]]} for r in found.authors.orderBy("period").collect()]
     if not rows:
         return None
     for r in [*rows, *people]:

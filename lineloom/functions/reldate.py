@@ -40,16 +40,22 @@ def resolve(text: str, now: datetime | None = None) -> datetime:
     return at.astimezone(UTC)
 
 
+def less(at: datetime, period: str) -> datetime:
+    """`at` less a period such as `2 weeks` or `30 days ago`."""
+    steps = STEP.findall(period.lower())
+    if not steps or not any(int(count) for count, _ in steps):
+        raise ValueError(f"{period!r} is no period")
+    for count, unit in steps:
+        at = back(at, int(count), unit)
+    return at
+
+
 def ticks(since: str, until: str, period: str, now: datetime | None = None) -> list[datetime]:
     """until, until - period, ... down to since; newest first."""
     now = now or datetime.now(UTC)
     low, at = resolve(since, now), resolve(until, now)
-    steps = STEP.findall(period.lower())
-    if not steps:
-        raise ValueError(f"{period!r} is no period")
     out = []
     while at >= low:
         out.append(at)
-        for count, unit in steps:
-            at = back(at, int(count), unit)
+        at = less(at, period)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,8 +34,54 @@ def latest(commits: DataFrame, until: datetime | Column) -> DataFrame:
     return commits.where(F.col("commit_ts") <= hi).orderBy(F.col("commit_ts").desc(), F.col("commit_id").desc()).limit(1)
 
 
+def sample_ids(log: list[tuple[str, datetime]], ticks: list[datetime]) -> list[str]:
+    """Of log (id, commit time; newest first) the last commit at or before each tick, newest first, each once."""
+    out: list[str] = []
+    for tick in ticks:
+        found = next((c for c, at in log if at <= tick), None)
+        if found is None:
+            break
+        if found not in out:
+            out.append(found)
+    return out
+
+
+def period_ranges(log: list[tuple[str, datetime]], since: datetime, until: datetime, back: Callable[[datetime], datetime], range_of: Callable[[str, str], list[str]]) -> list[list[str]]:
+    """Commit ids of successive periods, newest period first; no commit is in two.
+
+    log: (id, commit time), newest first. A period reaches from the newest unseen commit at or before
+    its `until` back to the newest unseen one at or before `until` less a period, ends included; one
+    commit before `since` may begin it, as in a range of dates. The next period ends on the day that
+    this one began; a period without unseen commits is skipped.
+    """
+    seen: set[str] = set()
+    out = []
+    low = back(until)
+
+    def newest(first: datetime, last: datetime) -> str | None:
+        inside = [c for c, at in log if first <= at <= last]
+        edge = next((c for c, at in log if at < first), None) if inside else None
+        return next((c for c in [*inside, edge] if c is not None and c not in seen), None)
+
+    times = dict(log)
+    while (begin := newest(since, low)) is not None:
+        end = newest(times[begin], until)
+        if end is None:
+            low, until = back(low), back(until)
+            continue
+        ids = [c for c in range_of(begin, end) if c not in seen]
+        seen.update([begin, *ids])
+        out.append(ids)
+        until = times[begin].replace(hour=23, minute=59, second=59, microsecond=999_999)
+        low = back(times[begin].replace(hour=0, minute=0, second=0, microsecond=0))
+    return out
+
+
 def previous_versions(file_commits: DataFrame, order: str = "commit_ts") -> DataFrame:
-    """file_commits (file_path, commit_id, ...) with prev_commit_id, the one before that touched the file."""
+    """file_commits (file_path, commit_id, ...) with prev_commit_id, the one before that touched the file.
+
+    For tables of linear history; a repository's branches are followed by gitrepo.previous_version().
+    """
     w = Window.partitionBy("file_path").orderBy(order, "commit_id")
     return file_commits.withColumn("prev_commit_id", F.lag("commit_id").over(w))
 

@@ -47,6 +47,7 @@ def clusters_text(totals: DataFrame, verb: str, title: str) -> str:
     return title + "".join(f"  {r['cluster_name']}: {r['text']}\n" for r in rows) if rows else ""
 
 
+# The labels and the layout of the reports below.
 def ownership_text(result: Ownership, full: bool = True) -> str:
     t = result.totals.first()
     out = f"\nTotal authors: {t['authors']}\nTotal files: {t['files']}\n"

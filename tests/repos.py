@@ -14,8 +14,8 @@ def git(repo: Path, *args: str, **env: str) -> None:
 def start(path: Path) -> Path:
     path.mkdir(parents=True)
     git(path, "init", "-q", "-b", "main")
-    git(path, "config", "user.name", "Your Name")
-    git(path, "config", "user.email", "you@example.com")
+    git(path, "config", "user.name", "Fixture")
+    git(path, "config", "user.email", "fixture@localhost")
     return path
 
 
@@ -34,13 +34,14 @@ def commit(repo: Path, author: str, files: dict[str, str | bytes | None], at: in
     git(repo, "commit", "-q", "-m", "c", f"--author={author} <{author}@mail.com>", GIT_AUTHOR_DATE=stamp, GIT_COMMITTER_DATE=stamp)
 
 
-def owned(path: Path) -> Path:
+# Authors, files and contents of the next two repositories; expected counts depend on them.
+def owned(path: Path, times: tuple[int, ...] = (0, 2, 4, 6, 8)) -> Path:
     """Three authors, two files, five commits; no file ends with a line end."""
     r = start(path)
-    for i, (author, files) in enumerate([
+    for at, (author, files) in zip(times, [
         ("author1", {"file1": "a"}), ("author2", {"file1": "a\nb"}), ("author1", {"file1": "a\nd\nc"}), ("author1", {"file1": "a\nc"}), ("author3", {"dir1/dir1.1/file2": "a\nb\nc\nd\ne"}),
-    ]):
-        commit(r, author, files, i * 2)
+    ], strict=True):
+        commit(r, author, files, at)
     return r
 
 
@@ -64,3 +65,22 @@ def aged(path: Path) -> Path:
     commit(r, "bob", {"f": "oNe\nTWO\nthree\nfour\nfive\nsix\n"}, 32 * day)
     commit(r, "cid", {"f": "oNe\nTwO\nfour\nfive\nsix\n", "gone": None}, 33 * day)
     return r
+
+
+def merged(path: Path) -> Path:
+    """Two branches that change the same file, and a merge that takes both changes."""
+    r, day = start(path), 86_400
+    lines = [f"line {i} of the file" for i in range(12)]
+    put = lambda **at: "".join((at.get(f"l{i}") or x) + "\n" for i, x in enumerate(lines))
+    commit(r, "ann", {"f": put(), "g": "g\n"}, 0)
+    git(r, "checkout", "-q", "-b", "side")
+    commit(r, "bob", {"f": put(l1="side 1")}, day)
+    git(r, "checkout", "-q", "main")
+    commit(r, "cid", {"f": put(l10="main 10")}, 2 * day)
+    git(r, "checkout", "-q", "side")
+    commit(r, "bob", {"f": put(l1="side 2")}, 3 * day)
+    git(r, "checkout", "-q", "main")
+    stamp = f"{1_700_000_000 + 4 * day} +0000"
+    git(r, "merge", "-q", "--no-ff", "-m", "m", "side", GIT_AUTHOR_DATE=stamp, GIT_COMMITTER_DATE=stamp)
+    commit(r, "ann", {"f": put(l1="side 2", l10="main 11")}, 5 * day)
+    return r

@@ -1,4 +1,5 @@
 import io
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,10 +165,77 @@ def test_command_line(spark, owned, tmp_path):
     assert call("changes", "--since", "2001-01-01", "--until", "2002-01-01")[0] == 3
     assert call("ownership", "--branch", "nope")[0] == 1
     assert call("ownership", "--min-dup-lines", "0")[0] == 1
+    first = ids(spark, owned)[0]
+    code, shown = call("ownership", "--commit-id", first, "--verbose", "--profile-file", str(tmp_path / "profile"))
+    assert code == 0 and "Total lines: 1" in shown and (tmp_path / "profile").stat().st_size > 0
+    assert call("changes", "--since-commit", ids(spark, owned)[3], "--until-commit", first)[0] == 2
     code, shown = call("ownership-timeseries", "--since", "2023-11-14", "--until", "2023-11-20", "--period", "2 days")
     assert code == 0 and "Inc/period" in shown and "\nauthor3\n" in shown and "Authors that owns ~5 lines: author3" in shown
     code, shown = call("changes-timeseries", "--since", "2023-11-10", "--until", "2023-11-20", "--period", "5 days")
-    assert code == 0 and ["Total", "5", "2", "11", "8", "3"] in [x.split() for x in shown.splitlines()] and "\nauthor2\n" in shown
+    # all commits are of one moment: the newest at or before 2023-11-15 begins and ends the only period
+    assert code == 0 and ["Total", "1", "1", "5", "5", "0"] in [x.split() for x in shown.splitlines()] and "\nauthor3\n" in shown
+
+
+def test_previous_versions_follow_branches(spark, tmp_path):
+    repo = str(repos.merged(tmp_path / "merged"))
+    at = {r.commit_ts: r.commit_id for r in gitrepo.commits(spark, repo).collect()}
+    root, side1, main1, side2, merge, last = [at[k] for k in sorted(at)]
+    assert [gitrepo.previous_version(repo, c, "f") for c in (root, side1, main1, side2, last)] == [None, root, root, side1, merge]
+    assert gitrepo.previous_version(repo, last, "g") == root and gitrepo.previous_version(repo, last, "nope") is None
+    result = touched(spark, repo)
+    by = {a.author_name: a for a in result.authors.collect()}
+    # each change is compared with its own branch's version: cid does not undo bob's line
+    assert (by["cid"].changes, by["cid"].churn_other) == (1, 1)
+    assert (by["bob"].changes, by["bob"].churn_other, by["bob"].churn_own) == (2, 1, 1)
+    assert by["ann"].changes == 1 and by["cid"].churn_received == 1 and by["ann"].churn_received == 2
+
+
+def test_commit_ranges(spark, owned, tmp_path):
+    log = ids(spark, owned)
+    ranged = lambda *ends: gitrepo.commit_range(owned, "main", *ends)
+    assert ranged() == log[::-1] and ranged(log[2], log[2]) == [log[2]]
+    assert ranged(log[1], log[3]) == [log[3], log[2], log[1]] and ranged(log[1]) == log[:0:-1]
+    with pytest.raises(ValueError, match="since commit"):
+        ranged(log[3], log[1])
+    with pytest.raises(ValueError, match="until commit"):
+        ranged("", log[1])
+    with pytest.raises(RuntimeError):
+        ranged("0" * 40, log[1])
+    merged = str(repos.merged(tmp_path / "merged"))
+    at = {r.commit_ts: r.commit_id for r in gitrepo.commits(spark, merged).collect()}
+    root, side1, main1, side2, merge, last = [at[k] for k in sorted(at)]
+    assert set(gitrepo.commit_range(merged, "main", root, last)) == {root, side1, main1, side2, merge, last}
+
+
+def test_samples_are_those_of_the_fixture(spark, tmp_path):
+    """Three commits within a second, then two more: a period of a second gives two samples."""
+    repo = str(repos.owned(tmp_path / "owned", (0, 0, 0, 2, 2)))
+    out = io.StringIO()
+    assert cli.run(["ownership-timeseries", "--repo", repo, "--since", "2023-11-14T22:13:20Z", "--until", "2023-11-14T22:13:22Z", "--period", "1 second", "--min-dup-lines", "2"], out) == 0
+    assert [x.split()[1] for x in out.getvalue().split("\n\n")[0].splitlines() if x.startswith("2023-")] == ["3", "7"]
+
+
+def test_periods_hold_each_commit_once():
+    day = lambda d, h=0: datetime(2024, 1, 1, h, tzinfo=UTC) + timedelta(days=d)
+    log = [(f"c{i}", day(d, h)) for i, (d, h) in enumerate([(0, 5), (0, 9), (3, 1), (11, 0), (12, 0), (29, 0)])][::-1]
+    order = [c for c, _ in log]
+    span = lambda lo, hi: order[order.index(hi) : order.index(lo) + 1]
+    week = lambda at: at - timedelta(days=7)
+    got = commit_ops.period_ranges(log, day(-5), day(30), week, span)
+    assert got == [["c5", "c4"], ["c3", "c2"]]
+    assert commit_ops.period_ranges(log, day(-5), day(30), lambda at: at - timedelta(days=3), span) == [["c5", "c4"], ["c3", "c2"]]
+    assert commit_ops.period_ranges(log, day(-5), day(30), lambda at: at - timedelta(hours=12), span)[-2:] == [["c2"], ["c1"]]
+    # nothing in the last week: the period before is looked at
+    assert commit_ops.period_ranges(log[1:], day(-5), day(30), week, span) == [["c4"], ["c3", "c2"]]
+    assert commit_ops.period_ranges([], day(0), day(9), week, span) == []
+
+
+def test_unreadable_files_are_left_out(spark, owned, monkeypatch):
+    files = spark.createDataFrame([(ids(spark, owned)[-1], "file1"), ("0" * 40, "file1")], "commit_id string, file_path string")
+    rows = gitrepo.blame(files, owned, keep_failures=True).collect()
+    assert sorted(r.line_number for r in rows) == [0, 1, 2]
+    versions = files.selectExpr("*", f"'{'1' * 40}' as prev_commit_id")
+    assert gitrepo.hunks(versions, owned).count() == 0
 
 
 def test_latest_commit_before_the_first(spark, owned):
