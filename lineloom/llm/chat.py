@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineloom.llm.common import spool
+
 #: Turns of a conversation whose messages one task numbers.
 BLOCK_TURNS = 64
 #: Types that a schema may name, and the variant type each is read as.
@@ -80,7 +82,8 @@ def link(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) ->
         "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("content", F.lit("")).alias("content"),
         "call_id", "call_name", "call_arguments", "result_of",
     )
-    m = m.groupBy(*plain).agg(F.count("*").alias("copies")).withColumn("link_id", F.coalesce("call_id", "result_of"))
+    # written, since it is read for the sums and for the messages; contents are shuffled for neither twice
+    m = spool(m.groupBy(*plain).agg(F.count("*").alias("copies")).withColumn("link_id", F.coalesce("call_id", "result_of")), "messages")
     # one row per call id, pre-aggregated: the first call, and how many results it has
     is_call = F.col("call_id").isNotNull()
     this_call = F.struct("turn", "call_name", "call_arguments", "role", "content")
@@ -92,7 +95,7 @@ def link(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) ->
         *plain, "copies", "link_id", kind.alias("kind"), "first_call", "results", this_call.eqNullSafe(F.col("first_call")).alias("is_first"),
         F.greatest("turn", F.when(kind == "result", F.col("first_call.turn"))).alias("order_turn"), F.when(kind == "result", 1).otherwise(0).alias("order_rank"),
     )
-    rows = positions(rows, [F.col(c) for c in ("order_turn", "order_rank", "turn", "kind", "role", "content", "link_id", "call_name", "call_arguments")], "order_turn", "copies")
+    rows = positions(spool(rows, "linked"), [F.col(c) for c in ("order_turn", "order_rank", "turn", "kind", "role", "content", "link_id", "call_name", "call_arguments")], "order_turn", "copies")
     rows = rows.select("*", F.posexplode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy", "copy_number")).drop("copy_number")
     value = F.try_parse_json("call_arguments")
     state = F.when(F.col("kind") == "call", F.when(~F.col("is_first") | (F.col("copy") > 0), "repeated").when(F.col("results") > 0, "linked").otherwise("open")).when(F.col("kind") == "result", F.when(F.col("first_call").isNull(), "orphan").otherwise("linked")).otherwise("none")
