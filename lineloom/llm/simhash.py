@@ -67,9 +67,11 @@ class Reach(NamedTuple):
 NEAR, SHINGLE = Reach(3, 32), 3
 #: Links of near texts, words to their shingles, and fingerprints.
 CHECK_RADIUS = 14
-NEAR_TEXT, TEXT_SHINGLE, WORDS = Reach(7, 16, CHECK_RADIUS), 5, 4
+NEAR_TEXT, TEXT_SHINGLE, WORDS = Reach(7, 16, CHECK_RADIUS), 5, 6
 #: Leading bits of the first nodes, further bits of each split, and codes of a node that is not split.
 FIRST_BITS, STEP, GROUP = 6, 3, 1024
+#: The same of near texts: a code meets about log2(codes / group) other groups, which larger ones lower.
+TEXT_FIRST_BITS, TEXT_GROUP = 4, 16384
 #: Codes of a leaf in memory, and pairs of leaves compared at a time.
 LEAF, PAIRS_AT_ONCE = 16, 4096
 
@@ -420,7 +422,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     codes = long.groupBy("word", "code").agg(F.min(F.struct("home", "check")).alias("first"), F.count("*").alias("n"))
     codes = spool(codes.select("word", "code", "first.home", "first.check", "n"), "words")
     rows = codes.select(F.inline(F.array(*turns(F.col("code"), NEAR_TEXT, F.col("word") * NEAR_TEXT.turns, F.col("check")))))
-    found = links(rows, WORDS * NEAR_TEXT.turns, NEAR_TEXT)
+    found = links(rows, WORDS * NEAR_TEXT.turns, NEAR_TEXT, TEXT_GROUP, TEXT_FIRST_BITS)
     one, other = (codes.select("word", F.col("code").alias(s), F.col("home").alias(f"{s}_home")) for s in ("a", "b"))
     linked = found.join(one, ["word", "a"]).join(other, ["word", "b"]).select("a_home", "b_home")
     shared = long.select("word", "code", F.col("home").alias("b_home")).join(codes.where("n > 1").select("word", "code", F.col("home").alias("a_home")), ["word", "code"])

@@ -158,7 +158,7 @@ def test_query_matches_brute_force(spark, tmp_path):
 
 
 def sketch_by_hand(text):
-    """Four fingerprints over the distinct 5-word shingles, each of the SplitMix64 outputs at that step."""
+    """WORDS fingerprints over the distinct 5-word shingles, each of the SplitMix64 outputs at that step."""
     words = re.findall(SPACED_WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
     full, out = (1 << 64) - 1, []
