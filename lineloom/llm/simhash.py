@@ -234,11 +234,20 @@ class Links:
                 self.parent[max(a, b)] = min(a, b)
                 self.found.append((x, y))
 
+    def stars(self) -> list[tuple[int, int]]:
+        """What add() joined, as links to the least of each group: batches that join the same give the same links."""
+        return [(self.top(x), x) for x in self.parent]
 
-def group_links(one: np.ndarray, other: np.ndarray | None, links: Links, reach: Reach = NEAR, checks: tuple[np.ndarray, np.ndarray | None] | None = None) -> int:
+
+#: Something of each code of two groups; the second is None if they are one.
+Sides = tuple[np.ndarray, np.ndarray | None] | None
+
+
+def group_links(one: np.ndarray, other: np.ndarray | None, links: Links, reach: Reach = NEAR, checks: Sides = None, homes: Sides = None) -> int:
     """Adds the links between two groups of distinct codes, or within one; returns how many pairs were compared.
 
-    checks: for each code of both groups the bits that must lie within the reach's check as well.
+    checks: for each code of both groups the bits that must lie within the reach's check as well;
+    homes: for each code what it links in its place.
     """
     same = other is None
     orders = [np.argsort(gray_rank(x)) for x in ((one,) if same else (one, other))]
@@ -249,15 +258,19 @@ def group_links(one: np.ndarray, other: np.ndarray | None, links: Links, reach:
     leaves, others = filled(one), filled(other)
     if checks is not None:
         check_leaves, check_others = filled(checks[0][orders[0]]), filled(checks[0 if same else 1][orders[-1]])
+    if homes is not None:
+        home_leaves, home_others = filled(homes[0][orders[0]]), filled(homes[0 if same else 1][orders[-1]])
     for k in range(0, len(a), PAIRS_AT_ONCE):
         at, to = a[k : k + PAIRS_AT_ONCE], b[k : k + PAIRS_AT_ONCE]
         left, right = leaves[at], others[to]
         p, i, j = np.nonzero(np.bitwise_count(left[:, :, None] ^ right[:, None, :]) <= reach.radius)
         x, y = left[p, i], right[p, j]
-        good = x != y
         if checks is not None:
-            good &= np.bitwise_count(check_leaves[at][p, i] ^ check_others[to][p, j]) <= reach.check
-        links.add(x[good], y[good])
+            good = np.bitwise_count(check_leaves[at][p, i] ^ check_others[to][p, j]) <= reach.check
+            p, i, j, x, y = p[good], i[good], j[good], x[good], y[good]
+        if homes is not None:
+            x, y = home_leaves[at][p, i], home_others[to][p, j]
+        links.add(x[x != y], y[x != y])
     return len(a) * LEAF * LEAF
 
 
@@ -276,23 +289,23 @@ def prefix(code: Column, bits: int) -> Column:
     return F.shiftrightunsigned(code, 64 - bits)
 
 
-def turns(code: Column, reach: Reach, first: Column | None = None, *check: Column) -> list[Column]:
-    """A struct (turn, code, check if given) for each block at the front, turns counted from `first`."""
+def turns(code: Column, reach: Reach, first: Column | None = None, *extra: str) -> list[Column]:
+    """A struct (turn, code, extra columns) for each block at the front, turns counted from `first`."""
 
     def rotated(bits: int) -> Column:
         return F.shiftleft(code, bits).bitwiseOR(F.shiftrightunsigned(code, 64 - bits)) if bits else code
 
-    return [F.struct((F.lit(t) if first is None else first + t).alias("turn"), rotated(t * reach.block).alias("code"), *[c.alias("check") for c in check]) for t in range(reach.turns)]
+    return [F.struct((F.lit(t) if first is None else first + t).alias("turn"), rotated(t * reach.block).alias("code"), *extra) for t in range(reach.turns)]
 
 
 def trees(rows: DataFrame, group: int, first_bits: int) -> tuple[list[DataFrame], DataFrame]:
-    """(levels, groups) of the trees over the codes of each turn; rows: turn, code, distinct, and check or none.
+    """(levels, groups) of the trees over the codes of each turn; rows: turn, code, distinct, and check and home or neither.
 
     levels: turn, up, node, mask, bits, open of each level's nodes; open: whether the node is split
-    by the next level. groups: turn, level, node and codes (with checks, if any) of the nodes that are not split.
+    by the next level. groups: turn, level, node and codes (with checks and homes, if any) of the nodes that are not split.
     """
     kept = rows.columns
-    code = F.struct("code", "check") if "check" in kept else F.col("code")
+    code = F.struct("code", "check", "home") if "check" in kept else F.col("code")
     rows = spool(rows, "codes")
     levels, groups = [], []
     depth, before = first_bits, 0
@@ -363,11 +376,11 @@ def near_groups(levels: list[DataFrame], n_turns: int, reach: Reach) -> DataFram
 def fingerprint_links(distinct: DataFrame, group: int = GROUP, first_bits: int = FIRST_BITS) -> DataFrame:
     """(a, b): links that span the groups of fingerprints (column fp) within the contract's reach."""
     rows = distinct.select(F.inline(F.array(*turns(F.col("fp"), NEAR))))
-    return links(rows, NEAR.turns, NEAR, group, first_bits).select("a", "b")
+    return links(rows, NEAR.turns, NEAR, group, first_bits)
 
 
 def links(rows: DataFrame, n_turns: int, reach: Reach, group: int = GROUP, first_bits: int = FIRST_BITS) -> DataFrame:
-    """(word, a, b): links that span the groups of codes; rows as trees() takes them, word: the turn over the turns of a code."""
+    """(a, b): links that span the groups of codes, or of their homes; rows as trees() takes them."""
     levels, groups = trees(rows, group, first_bits)
     checked = "check" in rows.columns
     pairs = near_groups(levels, n_turns, reach)
@@ -380,15 +393,15 @@ def links(rows: DataFrame, n_turns: int, reach: Reach, group: int = GROUP, first
         for batch in batches:
             found: dict[int, Links] = defaultdict(Links)
             for k, turn in enumerate(batch.column(0).to_pylist()):
-                lists = [batch.column(c)[k] for c in (1, 2)]
-                values = [x.values if x.is_valid else None for x in lists]
-                codes = [None if v is None else numbers(v.field(0) if checked else v) for v in values]
-                checks = tuple(None if v is None else numbers(v.field(1)) for v in values) if checked else None
-                group_links(codes[0], codes[1], found[turn], reach, checks)
-            back = [(turn // reach.turns, *(signed(turned(x, -turn % reach.turns * reach.block)) for x in pair)) for turn, of in found.items() for pair in of.found]
-            yield pa.RecordBatch.from_pydict({n: [x[c] for x in back] for c, n in enumerate(("word", "a", "b"))}, schema=pa.schema([("word", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
+                values = [x.values if x.is_valid else None for x in (batch.column(c)[k] for c in (1, 2))]
+                codes, checks, homes = (tuple(None if v is None else numbers(v.field(n) if checked else v) for v in values) for n in range(3))
+                # homes are the same in all turns
+                of = found[-1 if checked else turn]
+                group_links(*codes, of, reach, *((checks, homes) if checked else ()))
+            back = [tuple(signed(turned(x, -turn % reach.turns * reach.block) if turn > 0 else x) for x in pair) for turn, of in found.items() for pair in (of.stars() if checked else of.found)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in back], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return ready.mapInArrow(run, "word int, a bigint, b bigint")
+    return ready.mapInArrow(run, "a bigint, b bigint")
 
 
 def numbers(codes: pa.Array) -> np.ndarray:
@@ -421,10 +434,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     long = prints.select(*words).distinct().select(F.inline(F.array(*each)))
     codes = long.groupBy("word", "code").agg(F.min(F.struct("home", "check")).alias("first"), F.count("*").alias("n"))
     codes = spool(codes.select("word", "code", "first.home", "first.check", "n"), "words")
-    rows = codes.select(F.inline(F.array(*turns(F.col("code"), NEAR_TEXT, F.col("word") * NEAR_TEXT.turns, F.col("check")))))
-    found = links(rows, WORDS * NEAR_TEXT.turns, NEAR_TEXT, TEXT_GROUP, TEXT_FIRST_BITS)
-    one, other = (codes.select("word", F.col("code").alias(s), F.col("home").alias(f"{s}_home")) for s in ("a", "b"))
-    linked = found.join(one, ["word", "a"]).join(other, ["word", "b"]).select("a_home", "b_home")
+    rows = codes.select(F.inline(F.array(*turns(F.col("code"), NEAR_TEXT, F.col("word") * NEAR_TEXT.turns, "check", "home"))))
+    linked = links(rows, WORDS * NEAR_TEXT.turns, NEAR_TEXT, TEXT_GROUP, TEXT_FIRST_BITS)
     shared = long.select("word", "code", F.col("home").alias("b_home")).join(codes.where("n > 1").select("word", "code", F.col("home").alias("a_home")), ["word", "code"])
     roots = components(linked.union(shared.select("a_home", "b_home")).toDF("a", "b"))
     named = prints.select("id", *extra, F.col("w0").alias("node")).join(roots, "node", "left")
