@@ -2,8 +2,8 @@
 
 All rolling word k-grams of every text are hashed and joined with the k-grams of the templates.
 A match at word `pos` of the text and `at` of the template votes for the diagonal pos - at;
-neighbouring diagonals are merged (they differ where words were put in or left out), and spans
-that hold enough of their template are kept. Short phrases use k = 2 and must match whole;
+neighbouring diagonals are merged (they differ where words were put in or left out; a notice allows
+half its length of them at one place), and spans that hold enough of their template are kept. Short phrases use k = 2 and must match whole;
 notices use k = 5 and a similarity of 0.8 or more, the share of the template's k-grams found.
 A vote counts only if its words equal the template's, so no hash collision passes.
 
@@ -24,8 +24,9 @@ from lineloom.llm.license_texts import BASE_PHRASES, MORE_PHRASES, NOTICES
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASE_K, NOTICE_K = 2, 5
 MIN_SIMILARITY = 0.8
-#: Diagonals of a notice at most so far apart belong to one span.
-NEAR = 4
+#: Diagonals of a notice belong to one span if no further apart than its words divided by this: up to
+#: half a notice may be put in at one place, such as a page header or a name.
+NEAR_PART = 2
 #: Every text has one gram of this "word", which no text contains; it carries the text's row.
 MARK = "\x00"
 #: Template k-grams that are broadcast at most; with more of them the join shuffles.
@@ -76,7 +77,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found:
     keys = ["row", "doc_id", "n_words", "tid", "kind", "label", "n_grams", "k"]
     diagonals = votes.groupBy(*keys, F.when(F.col("tid") == -1, 0).otherwise(F.col("diagonal")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     in_order = Window.partitionBy("row", "tid").orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal", 1, -(1 << 30)).over(in_order) > F.when(F.col("kind") == "notice", NEAR).otherwise(0)
+    apart = F.col("diagonal") - F.lag("diagonal", 1, -(1 << 30)).over(in_order) > F.when(F.col("kind") == "notice", F.floor((F.col("n_grams") + F.col("k") - 1) / NEAR_PART)).otherwise(0)
     spans = diagonals.withColumn("span", F.sum(apart.cast("int")).over(in_order)).groupBy(*keys, "span").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("hit"), F.min("first").alias("first"), (F.max("last") + F.first("k") - 1).alias("last")
     )

@@ -78,7 +78,7 @@ d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coa
 p AS (SELECT r, pos, w[pos + 1 : pos + {licenses.PHRASE_K}] AS short, w[pos + 1 : pos + {licenses.NOTICE_K}] AS long FROM (SELECT r, w, UNNEST(range(0, len(w))) AS pos FROM d)),
 v AS (SELECT r, pos, g.* FROM p JOIN g ON short = gram WHERE k = {licenses.PHRASE_K} UNION ALL SELECT r, pos, g.* FROM p JOIN g ON long = gram WHERE k = {licenses.NOTICE_K}),
 a AS (SELECT r, tid, kind, label, k, n_grams, pos - spot AS diagonal, list(DISTINCT spot) AS ats, min(pos) AS first, max(pos) AS last FROM v GROUP BY ALL),
-b AS (SELECT *, CASE WHEN diagonal - lag(diagonal, 1, -1073741824) OVER x > CASE kind WHEN 'notice' THEN {licenses.NEAR} ELSE 0 END THEN 1 ELSE 0 END AS starts FROM a WINDOW x AS (PARTITION BY r, tid ORDER BY diagonal)),
+b AS (SELECT *, CASE WHEN diagonal - lag(diagonal, 1, -1073741824) OVER x > CASE kind WHEN 'notice' THEN (n_grams + k - 1) // {licenses.NEAR_PART} ELSE 0 END THEN 1 ELSE 0 END AS starts FROM a WINDOW x AS (PARTITION BY r, tid ORDER BY diagonal)),
 c AS (SELECT *, sum(starts) OVER (PARTITION BY r, tid ORDER BY diagonal) AS span FROM b),
 e AS (SELECT r, tid, kind, label, n_grams, span, len(list_distinct(flatten(list(ats)))) / n_grams AS similarity, min(first) AS first FROM c GROUP BY r, tid, kind, label, n_grams, span),
 f AS (SELECT * FROM e WHERE similarity >= CASE kind WHEN 'notice' THEN {licenses.MIN_SIMILARITY} ELSE 1.0 END),

@@ -43,6 +43,27 @@ def test_notices_survive_edits_and_below_the_threshold_are_none(spark):
     assert (span.first, span.last) == (30, 30 + len(licenses.words_of(NOTICES[0][0])))
 
 
+def test_notices_with_a_stretch_put_in_are_found(spark):
+    """Whole notices with 5 to 10 words in their middle: a place costs 4 grams, whatever its length."""
+    rows, want = [], {}
+    for text, label in NOTICES:
+        words = text.split()
+        grams = len(licenses.words_of(text)) - licenses.NOTICE_K + 1
+        if (grams - 4) / grams < licenses.MIN_SIMILARITY:
+            continue
+        for n in (5, 10):
+            i = len(rows)
+            middle = len(words) // 2
+            rows.append((i, " ".join(words[:middle] + ["other"] * n + words[middle:]), "", "", 0))
+            want[i] = label
+    out = {r.doc_id: r.labels.split(",") for r in licenses.license_rows(cases.frame(spark, rows)).collect()}
+    assert len(want) >= 12 and all(label in out[i] for i, label in want.items())
+    # halves that lie further apart than half the notice are two spans, and neither is enough
+    words = NOTICES[0][0].split()
+    apart = " ".join(words[:30] + ["other"] * len(words) + words[30:])
+    assert licenses.license_rows(cases.frame(spark, [(1, apart, "", "", 0)])).first().labels == ""
+
+
 def labels_by_hand(text):
     """Labels and score: every template's grams looked up one by one, places of one stretch taken together."""
     words = licenses.words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -50,7 +71,7 @@ def labels_by_hand(text):
     for t in licenses.templates():
         grams = [tuple(t["words"][i : i + t["k"]]) for i in range(len(t["words"]) - t["k"] + 1)]
         votes = sorted({(p - at, at) for p in range(len(words) - t["k"] + 1) for at, g in enumerate(grams) if tuple(words[p : p + t["k"]]) == g})
-        reach = licenses.NEAR if t["kind"] == "notice" else 0
+        reach = len(t["words"]) // licenses.NEAR_PART if t["kind"] == "notice" else 0
         found, before = set(), None
         for diagonal, at in [*votes, (1 << 40, -1)]:
             if before is not None and diagonal - before > reach:
