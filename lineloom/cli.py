@@ -12,12 +12,13 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lineloom.functions import reldate
+from lineloom.operators import changes as change_ops
 from lineloom.operators import commits as commit_ops
 from lineloom.operators.filters import file_matches
 from lineloom.options import ChangesOptions, OptionError, OwnershipOptions
 from lineloom.plans import changes as changes_plan
 from lineloom.plans import ownership as ownership_plan
-from lineloom.report import text
+from lineloom.report import chart, text
 from lineloom.session import session, with_checkpoints
 from lineloom.sources import gitrepo
 from lineloom.sources.cache import ResultCache, cache_key
@@ -28,7 +29,7 @@ COMMANDS = ("ownership", "ownership-timeseries", "duplicates", "changes", "chang
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lineloom")
     p.add_argument("command", choices=COMMANDS)
-    for name, default in (("repo", "."), ("branch", "main"), ("files", ".*"), ("files-not", ""), ("authors", ".*"), ("authors-not", ""), ("cache-file", ""), ("when", "now"), ("until", "now"), ("commit-id", ""), ("since-commit", ""), ("until-commit", ""), ("profile-file", "")):
+    for name, default in (("repo", "."), ("branch", "main"), ("files", ".*"), ("files-not", ""), ("authors", ".*"), ("authors-not", ""), ("cache-file", ""), ("when", "now"), ("until", "now"), ("commit-id", ""), ("since-commit", ""), ("until-commit", ""), ("profile-file", ""), ("html", "")):
         p.add_argument(f"--{name}", default=default)
     p.add_argument("--since", default=None)
     p.add_argument("--period", default=None)
@@ -105,12 +106,14 @@ def run(args: list[str], out=sys.stdout) -> int:
     cache = ResultCache(a.cache_file, a.cache_ttl) if a.cache_file else None
     key = cache_key(f"{a.command}/{a.format}/{period}", ranged if a.command.startswith("changes") else own, head, since, a.until)
     try:
-        if cache and (known := cache.get(key)) is not None:
+        # the cache keeps texts; a page needs the results
+        if cache and not a.html and (known := cache.get(key)) is not None:
             out.write(known)
             return 0
         spark = session(**({"spark_ui_showConsoleProgress": "true"} if a.verbose else {}))
         with cProfile.Profile() if a.profile_file else nullcontext() as profile:
-            report = _report(spark, a, own, ranged, since, period)
+            charts: list[tuple[str, str]] = []
+            report = _report(spark, a, own, ranged, since, period, charts)
         if profile:
             profile.dump_stats(a.profile_file)
     except (ValueError, RuntimeError) as e:
@@ -122,11 +125,15 @@ def run(args: list[str], out=sys.stdout) -> int:
     if cache:
         cache.put(key, report)
         cache.close()
+    if a.html:
+        with open(a.html, "w", encoding="utf-8") as f:
+            f.write(chart.page(a.command, charts, report))
     out.write(report)
     return 0
 
 
-def _report(spark, a, own: OwnershipOptions, ranged: ChangesOptions, since: str, period: str) -> str | None:
+def _report(spark, a, own: OwnershipOptions, ranged: ChangesOptions, since: str, period: str, charts: list[tuple[str, str]]) -> str | None:
+    """The report's text; adds what a page shows to `charts`, if one is wanted."""
     full = a.format == "full"
     if a.command in ("ownership", "duplicates"):
         found = snapshot(spark, a.repo, a.branch, a.when, own)
@@ -134,6 +141,8 @@ def _report(spark, a, own: OwnershipOptions, ranged: ChangesOptions, since: str,
             return None
         if a.command == "duplicates":
             return text.duplicates_text(found, full)
+        if a.html:
+            charts.append(("Lines by author", chart.pie([(r["author_name"], r["lines"]) for r in found.authors.orderBy(F.col("lines").desc(), "author_name").collect()])))
         return text.ownership_csv(found) if a.format == "csv" else text.ownership_text(found, full)
     if a.command == "ownership-timeseries":
         log = log_of(spark, a.repo, a.branch)
@@ -152,6 +161,8 @@ def _report(spark, a, own: OwnershipOptions, ranged: ChangesOptions, since: str,
             return None
         shown = {"lines": "Lines", "duplicated": "Duplicates", "files": "Files"}
         out = _clusters(spark, people, lambda r: r["lines"], "owns") + "\n" + text.series_text(rows[::-1], "date", shown, "Inc/period")
+        if a.html:
+            charts += _series_charts(people[::-1], "date", {"lines": "Lines", "duplicated": "Duplicates"})
         by_author = {"lines": "Lines", "duplicated": "Duplicates (total)", "original": "Duplicates (original)"}
         return out + (text.author_series_text(people, "date", by_author, "Inc/period") if full else "")
     if a.command == "changes":
@@ -159,6 +170,9 @@ def _report(spark, a, own: OwnershipOptions, ranged: ChangesOptions, since: str,
         found = change_range(spark, a, None if by_commit else reldate.resolve(since), None if by_commit else reldate.resolve(a.until), ranged)
         if found is None:
             return None
+        if a.html:
+            flows = change_ops.flows(found.totals).collect()
+            charts.append(("Lines touched", chart.sankey([(r["source"], r["target"], r["lines"]) for r in flows])))
         return text.changes_text(found) if full else text.changes_short_text(found)
     log = [x[:2] for x in log_of(spark, a.repo, a.branch)]
     times = dict(log)
@@ -178,6 +192,8 @@ def _report(spark, a, own: OwnershipOptions, ranged: ChangesOptions, since: str,
     for r in [*rows, *people]:
         r["touched"] = r["new_lines"] + r["changes"]
     measures = {"touched": "Lines touched", "new_lines": "New lines", "changes": "Changed lines"}
+    if a.html:
+        charts += _series_charts(people, "period", measures)
     out = text.series_text(rows[::-1], "period", {"commits": "Commits", "files": "Files touched", **measures}, "Total")
     out += "\n" + _clusters(spark, people, lambda r: r["touched"], "touched")
     return out + (text.author_series_text(people, "period", measures, "Total") if full else "")
@@ -187,6 +203,12 @@ def _report(spark, a, own: OwnershipOptions, ranged: ChangesOptions, since: str,
 EMPTY = Row(files=0, lines=0, authors=0, age_days_sum=0.0, duplicated=0)
 
 
+def _series_charts(people: list[dict], label: str, measures: dict[str, str]) -> list[tuple[str, str]]:
+    """A river and lines of each measure by author; people: oldest period first."""
+    drawn = {title: chart.dense(people, "author_name", label, m) for m, title in measures.items()}
+    return [(title, draw(*rows)) for title, rows in drawn.items() for draw in (chart.river, chart.lines)]
+
+
 def _clusters(spark, people: list[dict], total, verb: str) -> str:
     """Clusters of the authors' totals over all periods."""
     sums: dict[str, int] = {}

@@ -1,5 +1,7 @@
+import html
 import io
 from datetime import UTC, datetime, timedelta
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from lineloom.operators import commits as commit_ops
 from lineloom.options import ChangesOptions, OwnershipOptions
 from lineloom.plans import changes as changes_plan
 from lineloom.plans import ownership as ownership_plan
-from lineloom.report import text
+from lineloom.report import chart, text
 from lineloom.sources import gitrepo
 from tests import repos
 
@@ -176,6 +178,28 @@ def test_command_line(spark, owned, tmp_path):
     assert code == 0 and ["Total", "1", "1", "5", "5", "0"] in [x.split() for x in shown.splitlines()] and "\nauthor3\n" in shown
 
 
+def test_pages(spark, owned, tmp_path):
+    """Each report as a page: its charts, then the text that is also written out."""
+    marks = {"ownership": ["<path d="], "ownership-timeseries": ["<polygon ", "<polyline "], "changes": ["refactor own: "], "changes-timeseries": ["<polygon ", "<polyline "]}
+    for command, parts in marks.items():
+        out, file = io.StringIO(), tmp_path / f"{command}.html"
+        since = ["--since", "2023-11-10", "--until", "2023-11-20", "--period", "5 days"] if command != "ownership" else []
+        assert cli.run([command, *since, "--repo", owned, "--html", str(file)], out) == 0
+        page = file.read_text(encoding="utf-8")
+        ElementTree.fromstring(page.replace("<!doctype html>", "").replace('<meta charset="utf-8">', ""))
+        assert html.escape(out.getvalue()) in page and all(x in page for x in parts)
+
+
+def test_charts():
+    assert chart.dense([{"a": "y", "d": 1, "n": 2}, {"a": "x", "d": 2, "n": 3}, {"a": "y", "d": 2, "n": 4}, {"a": "y", "d": 2, "n": 1}], "a", "d", "n") == ([1, 2], {"x": [0, 3], "y": [2, 5]})
+    assert "<circle" in chart.pie([("only <one>", 3), ("none", 0)]) and "only &lt;one&gt;: 3 (100.0%)" in chart.pie([("only <one>", 3)])
+    assert chart.pie([("a", 1), ("b", 1), ("c", 2)]).count("<path") == 3
+    flow = chart.sankey([("all", "new", 3), ("all", "changed", 2), ("changed", "churn", 2)])
+    assert flow.count("<path") == 3 and flow.count("<rect") == 4 and "all: 5" in flow
+    for empty in (chart.pie([]), chart.lines([], {}), chart.river([], {}), chart.sankey([])):
+        ElementTree.fromstring(empty)
+
+
 def test_previous_versions_follow_branches(spark, tmp_path):
     repo = str(repos.merged(tmp_path / "merged"))
     at = {r.commit_ts: r.commit_id for r in gitrepo.commits(spark, repo).collect()}
